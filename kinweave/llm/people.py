@@ -30,36 +30,45 @@ def name_tokens(text: Column) -> Column:
 
     Bracketed words (a father's name) are left out.  "Surname, Given" and words after a maiden-name mark need no special order: every comparison of tokens is free of order.
     """
-    bare = F.regexp_replace(text, r"\(.*?\)", " ")
-    words = F.regexp_extract_all(F.regexp_replace(bare, "(?<=[a-z])['-](?=[a-z])", ""), F.lit(r"[a-z]+\.?"), F.lit(0))
+    bare = F.when(text.contains("("), F.regexp_replace(text, r"\(.*?\)", " ")).otherwise(text)
+    words = F.regexp_extract_all(F.translate(bare, "'-", ""), F.lit(r"[a-z]+\.?"), F.lit(0))
     kept = F.filter(words, lambda w: ~F.regexp_replace(w, r"\.$", "").isin(NOT_NAMES) | (F.length(w) == 1))
     return F.array_distinct(F.transform(kept, lambda w: sound(w)))
 
 
 def place_key(c: Column) -> Column:
-    p = F.regexp_replace(core(c), r"[^a-z.]|\.(?=.)", "")
+    p = F.translate(core(F.substring_index(c, ",", 1)), " -'/()?*0123456789", "")
     return F.when(F.length(p) > 2, sound(p))
 
 
+#: Numbers of the tables in record ids.
+TABLES = ["export_xlsx", "export_xlsx_partial", "match_entries"]
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tab, key, raw, text, byear, bdate, place, father, dyear, dplace, sex; one row per record."""
+    """rid, tab, key, raw, tokens, byear, byear2, bdate, place, father, dyear, dplace, sex.
+
+    One row per delivery; ``rid`` (key and table in one number) is the record.
+    """
     t = lambda n: table(spark, sf_dir, n)
     none = F.lit(None).cast("string")
     a = t("export_xlsx").select(
         F.lit("export_xlsx").alias("tab"), F.col("row_id").alias("key"), F.col("name_and_surname").alias("raw"), F.col("name_and_surname").alias("name"),
         year(F.regexp_replace("`Date of Birth:`", r"\s*\[.*", "")).alias("byear"), none.alias("bdate"), given(F.col("`Place of Birth:`")).alias("place"), given(F.col("`Father Name:`")).alias("father"),
         year(F.col("`Year of Death:`")).alias("dyear"), given(F.coalesce(given(F.col("`Death Place:`")), F.col("`Camp:`"))).alias("dplace"), F.upper(given(F.col("`Sex:`"))).alias("sex"),
-        F.regexp_extract("`Date of Birth:`", r"\[(\d{4})", 1).try_cast("int").alias("byear2"), plain(F.col("`Source:`")).alias("source"),
+        F.regexp_extract("`Date of Birth:`", r"\[(\d{4})", 1).try_cast("int").alias("byear2"),
     )
     b = t("export_xlsx_partial").select(
         F.lit("export_xlsx_partial"), F.expr("try_cast(trim(IDNumber) as bigint)"), F.concat(F.coalesce("Name", F.lit("")), F.lit("|"), F.coalesce("Surname", F.lit(""))),
-        F.concat_ws(" ", "Name", "Surname"), year(F.col("BirthYear")), none, given(F.col("Place")), given(F.col("FatherName")), year(F.col("DeathYear")), given(F.col("DeathPlace")), none, F.lit(None).cast("int"), none,
+        F.concat_ws(" ", "Name", "Surname"), year(F.col("BirthYear")), none, given(F.col("Place")), given(F.col("FatherName")), year(F.col("DeathYear")), given(F.col("DeathPlace")), none, F.lit(None).cast("int"),
     )
     c = t("match_entries").select(
         F.lit("match_entries"), F.col("row_idx"), F.col("surname"), F.concat_ws(" ", "name", "surname"), year(F.col("birth_date")),
-        F.when(F.col("birth_date").rlike(r"^\d{4}-\d\d-\d\d$"), F.col("birth_date")), given(F.col("birth_place")), none, F.lit(None).cast("int"), none, none, F.lit(None).cast("int"), none,
+        F.when(F.col("birth_date").rlike(r"^\d{4}-\d\d-\d\d$"), F.col("birth_date")), given(F.col("birth_place")), none, F.lit(None).cast("int"), none, none, F.lit(None).cast("int"),
     )
-    rows = a.unionAll(b).unionAll(c).filter("key is not null").dropDuplicates(["tab", "key"])
+    rows = a.unionAll(b).unionAll(c).filter("key is not null")
+    code = F.array_position(F.array(*[F.lit(x) for x in TABLES]), F.col("tab")) - 1
     return rows.withColumns({
-        "text": plain(F.col("name")), "place": place_key(F.col("place")), "dplace": place_key(F.col("dplace")), "father": sound(F.regexp_replace(plain(F.col("father")), "[^a-z.]", "")),
-    }).withColumn("tokens", name_tokens(F.col("text"))).drop("name")
+        "rid": F.col("key") * 4 + code,
+        "text": plain(F.col("name")), "place": place_key(F.col("place")), "dplace": place_key(F.col("dplace")), "father": sound(F.translate(plain(F.col("father")), " -'/()?*0123456789", "")),
+    }).withColumn("tokens", name_tokens(F.col("text"))).drop("name", "text")

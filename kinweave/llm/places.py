@@ -25,8 +25,12 @@ MISSING = ["", "-", "*"]
 
 def core(value: Column) -> Column:
     """The name inside a freely written place, plain lower-case letters; a final full stop marks an abbreviation."""
-    v = plain(value)
-    v = F.regexp_replace(v, r"^[ ]+", "")
+    # capitalised words only: nothing around the name
+    bare = value.rlike("^[A-ZČĆĐŠŽ][a-zčćđšž]+(?: [A-ZČĆĐŠŽ][a-zčćđšž]+)?$")
+    return F.when(bare, plain(value)).otherwise(_stripped(plain(value)))
+
+
+def _stripped(v: Column) -> Column:
     v = F.regexp_replace(v, BEFORE, "")
     v = F.regexp_replace(v, f"^([^,]+), *({'|'.join(OPENERS)})$", "$2 $1")
     v = F.regexp_replace(F.regexp_replace(v, AFTER, ""), AFTER, "")

@@ -45,6 +45,12 @@ def plain(text: Column) -> Column:
 
     Null stays null.
     """
+    # most values need lower case and five letters only
+    usual = ~text.rlike("[^\\x20-\\x7eČčĆćĐđŠšŽž]|  ")
+    return F.when(usual, F.trim(F.translate(F.lower(text), "čćđšž", "ccdsz"))).otherwise(_any_plain(text))
+
+
+def _any_plain(text: Column) -> Column:
     clean = F.regexp_replace(text, r"[\p{Cf}\p{Mn}]", "")
     low = F.lower(clean)
     cyr = F.translate(low, "".join(CYRILLIC), "".join(CYRILLIC.values()))
