@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.places import core
-from kinweave.llm.spell import plain, sound
+from kinweave.llm.places import AFTER, BEFORE
+from kinweave.llm.spell import CYRILLIC, CYRILLIC_TWO, SOUNDS, _plain, sound
+from kinweave.llm.text_forms import LOOKALIKES
 from kinweave.plans.runtime import table
 
-# Titles and words in names that are no part of them, and marks of missing values.
-NOT_NAMES = ["dr", "prof", "ing", "inz", "mr", "mag", "g", "gda", "gdja", "gosp", "rod", "rodj", "ud", "geb", "nee", "mladi", "stariji", "ml", "st", "n", "nn"]
+# Titles and words in names that are no part of them (sound-folded), and marks of missing values.
+NOT_NAMES = ["dr", "prof", "ing", "inc", "mr", "mag", "gda", "gdia", "gosp", "rod", "ud", "geb", "ne", "mladi", "stariii", "ml", "st", "nn"]
+NOT_NAMES_SHORT = ["dr.", "prof.", "ing.", "inc.", "mr.", "mag.", "g.", "gosp.", "rod.", "ud.", "geb.", "ml.", "st."]
 MISSING = ["", "-", "*", "9999", "?"]
 
 
@@ -31,14 +37,9 @@ def name_tokens(text: Column) -> Column:
     Bracketed words (a father's name) are left out.  "Surname, Given" and words after a maiden-name mark need no special order: every comparison of tokens is free of order.
     """
     bare = F.when(text.contains("("), F.regexp_replace(text, r"\(.*?\)", " ")).otherwise(text)
-    words = F.regexp_extract_all(F.translate(bare, "'-", ""), F.lit(r"[a-z]+\.?"), F.lit(0))
-    kept = F.filter(words, lambda w: ~F.regexp_replace(w, r"\.$", "").isin(NOT_NAMES) | (F.length(w) == 1))
-    return F.array_distinct(F.transform(kept, lambda w: sound(w)))
-
-
-def place_key(c: Column) -> Column:
-    p = F.translate(core(F.substring_index(c, ",", 1)), " -'/()?*0123456789", "")
-    return F.when(F.length(p) > 2, sound(p))
+    # folded as one text, so that it stays in generated code
+    words = F.regexp_extract_all(sound(F.translate(bare, "'-", "")), F.lit(r"[a-z]+\.?"), F.lit(0))
+    return F.array_except(words, F.array(*[F.lit(x) for x in NOT_NAMES + NOT_NAMES_SHORT]))
 
 
 #: Numbers of the tables in record ids.
@@ -68,7 +69,77 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = a.unionAll(b).unionAll(c).filter("key is not null")
     code = F.array_position(F.array(*[F.lit(x) for x in TABLES]), F.col("tab")) - 1
-    return rows.withColumns({
-        "rid": F.col("key") * 4 + code,
-        "text": plain(F.col("name")), "place": place_key(F.col("place")), "dplace": place_key(F.col("dplace")), "father": sound(F.translate(plain(F.col("father")), " -'/()?*0123456789", "")),
-    }).withColumn("tokens", name_tokens(F.col("text"))).drop("name", "text")
+    rows = rows.withColumn("rid", F.col("key") * 4 + code)
+    kept = ["rid", "tab", "key", "raw", "byear", "byear2", "bdate", "dyear", "sex"]
+    folded = [("name", "tokens"), ("place", "place"), ("dplace", "dplace"), ("father", "father")]
+    kinds = {"tokens": "array<string>"}
+    schema = ", ".join([f"{c} {dict(rows.dtypes)[c]}" for c in kept] + [f"{new} {kinds.get(new, 'string')}" for _, new in folded])
+    return rows.select(*kept, *[old for old, _ in folded]).mapInArrow(_fold_batches, schema)
+
+
+# The same folding as in ``spell`` and ``places``, over Arrow batches: as one expression tree it is too large for the
+# JVM's compiler and runs interpreted, several times slower than this.
+_CASE = str.maketrans({k: v.lower() for k, v in LOOKALIKES.items()})
+_CYR = str.maketrans(CYRILLIC | CYRILLIC_TWO)
+_MARKS = str.maketrans(dict(zip(*_plain(), strict=True)) | {"ǆ": "dz", "ǉ": "lj", "ǌ": "nj", "ß": "ss", "ﬁ": "fi", "ﬂ": "fl"})
+_UNSEEN = re.compile("[\u00ad\u034f\u0300-\u036f\u200b-\u200f\u2060-\u2064\ufeff]")
+_NOT_CYR = re.compile(r"[^\W\d_\u0400-\u04ff]")
+_ANY_CYR = re.compile("[\u0400-\u04ff]")
+_KEYS = str.maketrans("wyjz", "viic")
+_TWICE = re.compile(r"([a-z])\1+")
+_WORDS = re.compile(r"[a-z]+\.?")
+_BRACKETS = re.compile(r"\(.*?\)")
+_BARE = re.compile("[A-ZČĆĐŠŽ][a-zčćđšž]+(?: [A-ZČĆĐŠŽ][a-zčćđšž]+)?")
+_BEFORE, _AFTER = re.compile(BEFORE), re.compile(AFTER)
+_GONE = str.maketrans("", "", " -'/()?*0123456789")
+_SKIP = {*NOT_NAMES, *NOT_NAMES_SHORT}
+
+
+def _low(s: str) -> str:
+    if not s.isascii():
+        s = _UNSEEN.sub("", s)
+        if _ANY_CYR.search(s) and not _NOT_CYR.search(s):
+            s = s.lower().translate(_CYR)
+        else:
+            s = s.translate(_CASE).lower()
+        s = s.translate(_MARKS)
+    return " ".join(s.lower().split())
+
+
+def _key(low: str) -> str:
+    for a, b in SOUNDS:
+        if a in low:
+            low = low.replace(a, b)
+    return _TWICE.sub(r"\1", low.translate(_KEYS))
+
+
+def _tokens(s: str) -> list[str]:
+    low = _low(s)
+    if "(" in low:
+        low = _BRACKETS.sub(" ", low)
+    return [w for w in dict.fromkeys(_WORDS.findall(_key(low.replace("'", "").replace("-", "")))) if w not in _SKIP]
+
+
+def _place(s: str) -> str | None:
+    s = s.partition(",")[0]
+    low = _low(s)
+    if not _BARE.fullmatch(s):
+        low = re.sub(r"[^a-z. ]", "", _AFTER.sub("", _AFTER.sub("", _BEFORE.sub("", low)))).strip()
+    low = low.translate(_GONE)
+    return _key(low) if len(low) > 2 else None
+
+
+def _father(s: str) -> str:
+    return _key(_low(s).translate(_GONE))
+
+
+def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cols = batch.columns
+        made = []
+        for col, fold in zip(cols[-4:], (_tokens, _place, _place, _father), strict=True):
+            # every distinct value of a batch is folded once
+            words = col.dictionary_encode()
+            done = pa.array([None if v is None else fold(v) for v in words.dictionary.to_pylist()], pa.list_(pa.string()) if fold is _tokens else pa.string())
+            made.append(done.take(words.indices))
+        yield pa.RecordBatch.from_arrays([*cols[:-4], *made], names=[*batch.schema.names[:-4], "tokens", "place", "dplace", "father"])
