@@ -47,9 +47,9 @@ TABLES = ["export_xlsx", "export_xlsx_partial", "match_entries"]
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rid, tab, key, raw, tokens, byear, byear2, bdate, place, father, dyear, dplace, sex.
+    """rid, tab, key, r, tokens, byear, byear2, bdate, place, father, dyear, dplace, sex.
 
-    One row per delivery; ``rid`` (key and table in one number) is the record.
+    One row per delivery; ``rid`` (key and table in one number) is the record, ``r`` a hash of its raw name.
     """
     t = lambda n: table(spark, sf_dir, n)
     none = F.lit(None).cast("string")
@@ -70,7 +70,8 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = a.unionAll(b).unionAll(c).filter("key is not null")
     code = F.array_position(F.array(*[F.lit(x) for x in TABLES]), F.col("tab")) - 1
     rows = rows.withColumn("rid", F.col("key") * 4 + code)
-    kept = ["rid", "tab", "key", "raw", "byear", "byear2", "bdate", "dyear", "sex"]
+    rows = rows.withColumn("r", F.xxhash64("raw"))
+    kept = ["rid", "tab", "key", "r", "byear", "byear2", "bdate", "dyear", "sex"]
     folded = [("name", "tokens"), ("place", "place"), ("dplace", "dplace"), ("father", "father")]
     kinds = {"tokens": "array<string>"}
     schema = ", ".join([f"{c} {dict(rows.dtypes)[c]}" for c in kept] + [f"{new} {kinds.get(new, 'string')}" for _, new in folded])
