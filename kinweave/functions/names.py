@@ -71,8 +71,13 @@ def city(place: Column) -> Column:
     return F.when(low.startswith("zagreb"), "zagreb").when(low.startswith("beograd"), "beograd").otherwise(F.trim(low))
 
 
+def strip(c: Column) -> Column:
+    """Without white space at either end, Unicode spaces included."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def birth_place_variant(place: Column) -> Column:
-    out = F.trim(F.lower(place))
+    out = strip(F.lower(place))
     for a, b in (("w", "v"), ("agram", "zagreb"), ("belgrade", "beograd")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
