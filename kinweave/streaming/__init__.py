@@ -1,0 +1 @@
+"""Nothing streams here: every source is a whole file (see README)."""
