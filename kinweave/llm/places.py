@@ -38,10 +38,9 @@ def _stripped(v: Column) -> Column:
 
 
 def pairs_of(text: Column) -> Column:
-    """Letter pairs of a padded text, repeated ones numbered so that the set keeps their count."""
+    """Letter pairs of a padded text, each once."""
     padded = F.concat(F.lit("^"), text, F.lit("$"))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2)))
-    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
 
 
 def _locative(word: Column) -> Column:
