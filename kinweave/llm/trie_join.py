@@ -1,7 +1,9 @@
 """Trie join: all pairs of distinct words within a bounded edit distance (problem 1).
 
 Words are sharded into tries: once by their first letters, once, reversed, by their last ones.  A pair whose edits leave
-either end untouched meets in a shard.  Inside a shard the trie is joined with itself: like a Levenshtein automaton run
+either end untouched meets in a shard.  A pair whose edits touch both ends has its first edit among the first letters and
+its last one among the last; with at most two edits there are no others, so what is left of both words without the edited
+letters is equal, and they meet there.  Inside a shard the trie is joined with itself: like a Levenshtein automaton run
 for all words at once, each node keeps the set of nodes whose distance from it is within the bound; a child's set
 follows from its parent's, so common prefixes are worked on once.  Node sets are numpy arrays over a level of the trie.
 """
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters at either end that shards are cut by.
@@ -20,7 +22,7 @@ END = 3
 #: Largest distance followed in the trie.
 MAX_EDITS = 2
 #: Words shorter than this only match themselves.
-MIN_LENGTH = 5
+MIN_LENGTH = 4
 #: Words of a shard whose neighbours are searched at a time (bounds the size of the level arrays).
 STEP = 20_000
 
@@ -121,13 +123,39 @@ def _join_batch(shards: list[tuple[str, list[str]]], k: int) -> Iterator[pd.Data
             size += len(shard[1])
 
 
+def _without_ends(w: Column, k: int) -> Column:
+    """What is left of a word without up to one of its first END and one of its last END letters (k letters at most).
+
+    If only one edit is allowed it has to lie in both ends.
+    """
+    left = lambda i: F.concat(F.substring(w, F.lit(1), F.lit(i)), F.substring(w, F.lit(i + 2), F.length(w)))
+    if k == 1:
+        return F.array_distinct(F.array_compact(F.array(w, *[F.when(F.length(w).between(i + 1, i + END), left(i)) for i in range(END)])))
+    heads = F.array(w, *[left(i) for i in range(END)])
+    right = lambda x, j: F.concat(F.substring(x, F.lit(1), F.length(x) - 1 - j), F.substring(x, F.length(x) - j + 1, F.lit(j)))
+    tails = lambda x: F.array(x, *[right(x, j) for j in range(END)])
+    return F.array_distinct(F.flatten(F.transform(heads, tails)))
+
+
+def _both_ends(plain: DataFrame, k: int) -> DataFrame:
+    """(a, b, d): pairs within distance k whose first END and whose last END letters differ."""
+    # with one edit, only words up to 2 END - 1 letters have a letter in both ends
+    few = plain.filter(F.length("w") <= 2 * END - 1) if k == 1 else plain
+    keys = few.select(F.explode(_without_ends(F.col("w"), k)).alias("key"), "w")
+    ends = (F.substring("a", 1, END) != F.substring("b", 1, END)) & (F.substring("a", -END, END) != F.substring("b", -END, END))
+    met = keys.withColumnRenamed("w", "a").join(keys.withColumnRenamed("w", "b"), "key").filter((F.col("a") < F.col("b")) & ends)
+    near = met.withColumn("d", F.levenshtein("a", "b")).filter(F.col("d") <= k).select("a", "b", "d")
+    return near.unionAll(near.select("b", "a", "d"))
+
+
 def trie_join(words: DataFrame, column: str, k: int = MAX_EDITS) -> DataFrame:
     """(a, b, d): pairs of different words of ``column`` (plain letters) at Levenshtein distance d <= k.
 
-    Both directions are given.  Words shorter than MIN_LENGTH and nulls take no part.  Pairs whose edits touch both the
-    first END and the last END letters are not met directly (a spelling between them links both).  Repeated words
-    count once; other columns are ignored.
+    Both directions are given, and every pair is met (k is 1 or 2).  Words shorter than MIN_LENGTH and nulls take no
+    part.  Repeated words count once; other columns are ignored.
     """
+    if k not in (1, MAX_EDITS):
+        raise ValueError(f"k must be 1 or {MAX_EDITS}")
     plain = words.select(F.col(column).alias("w")).filter(F.length("w") >= MIN_LENGTH).distinct()
     ways = plain.select(F.explode(F.array(F.struct(F.lit(False).alias("back"), F.col("w")), F.struct(F.lit(True).alias("back"), F.reverse("w").alias("w")))).alias("x")).select("x.*")
     ways = ways.withColumn("shard", F.concat(F.col("back").cast("string"), F.substring("w", 1, END))).repartition("shard").sortWithinPartitions("shard")
@@ -148,4 +176,4 @@ def trie_join(words: DataFrame, column: str, k: int = MAX_EDITS) -> DataFrame:
                 yield out
 
     found = ways.select("back", "shard", "w").mapInPandas(run, "a string, b string, d int")
-    return found.groupBy("a", "b").agg(F.min("d").alias("d"))
+    return found.unionAll(_both_ends(plain, k)).groupBy("a", "b").agg(F.min("d").alias("d"))
