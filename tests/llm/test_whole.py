@@ -41,3 +41,23 @@ def test_near_words_are_those_same_word_accepts(spark):
     want = {tuple(r) for r in both.filter(spellings.same_word(both.a, both.b)).collect()}
     got = {tuple(r) for r in spellings.near_words(df).select("a", "b").collect()}
     assert got == want and ("turanstein", "tutanstei") in got
+
+
+PERSON = "rid long, tab string, key long, r long, tokens array<string>, byear int, byear2 int, bdate string, place string, father string, dyear int, dplace string, sex string"
+
+
+def _met(spark, rows, tab):
+    """Candidate pairs, by key, of (key, tokens, year, date, place, father)."""
+    code = {"export_xlsx": 0, "export_xlsx_partial": 1, "match_entries": 2}[tab]
+    data = [(k * 4 + code, tab, k, hash((k, tab)), t, y, None, d, p, f, None, None, None) for k, t, y, d, p, f in rows]
+    records = spark.createDataFrame(data, PERSON)
+    givens = spark.createDataFrame([], "w string")
+    hub_of = spellings.hubs(spellings.word_counts(records), givens)
+    return {(r.rid_a // 4, r.rid_b // 4) for r in spellings.candidate_pairs(records, hub_of).collect()}
+
+
+def test_certificates_with_only_a_year_meet_all_dates(spark):
+    name = lambda w: [w, "veronika"]
+    rows = [(1, name("dremitkak"), 1891, "1891-01-02", "a", None), (2, name("dremitkak"), 1891, "1891-03-04", "b", None), (3, name("dremitkak"), 1891, None, None, None), (4, name("dremitkak"), 1892, None, None, None)]
+    # the year alone links those with a short date; two different full dates are no pair
+    assert _met(spark, rows, "match_entries") == {(1, 3), (2, 3)}
