@@ -2,8 +2,7 @@
 
 The items are a stated query set; they are taken in blocks whose n-gram table has a fixed size limit, and each block is
 held against all documents in one pass.  A document becomes words without markup; words outside the items' vocabulary
-can start no seed.  Seeds (item n-grams, weighted by how few items hold them) that lie near each other in a document
-mark a passage, and Smith-Waterman over words decides how much of the item stands there, edits included.
+can start no seed.  Seeds (item n-grams) that lie near each other in a document mark a passage, and Smith-Waterman over words decides how much of the item stands there, edits included.
 """
 
 from __future__ import annotations
@@ -24,11 +23,16 @@ BLOCK_WORDS = 500_000
 #: Item words that have to be spanned by the alignment, and the share of them that must be met.
 MIN_SPAN = 25
 MIN_MATCHED = 0.8
-#: Distinct seeds of one item that a passage needs before it is aligned; a seed held by several items counts less.
-MIN_WEIGHT = 2.0
+#: Distinct seeds of one item that a passage needs before it is aligned, however many items hold them.  Twenty of 25 words
+#: in order with five changed have eight at least; fewer are left only where words are added too.
+MIN_SEEDS = 2
 #: Words without a seed that end a passage.
 PASSAGE_GAP = 40
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Score below which no alignment meets MIN_MATCHED of MIN_SPAN words, unless more than 15 words are added in between.
+LEAST_SCORE = 20
+#: Cells of the row of alignments that are scored at a time.
+CELLS = 60000
 
 # Markup that is dropped together with its argument, and what else is no word.
 _DROPPED = r"\\(?:cite\w*|label|ref|eqref|vspace|hspace|includegraphics|index|pagebreak)\*?(?:\[[^\]]*\])?\{[^}]*\}"
@@ -46,22 +50,25 @@ def words_of(texts: pa.Array) -> pa.ListArray:
 
 
 class Items:
-    """Vocabulary and seeds of a block of items."""
+    """Vocabulary and seeds of a block of items; items of the same words are one class and aligned once."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         lists = words_of(pa.array(texts, pa.string())).to_pylist()
         lists = [[w for w in ws if w] for ws in lists]
-        self.ids = ids
+        classes: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for key, ws in zip(ids, lists, strict=True):
+            classes[tuple(ws)].append(key)
+        self.ids = list(classes.values())
+        lists = list(classes)
         self.vocabulary = sorted({w for ws in lists for w in ws})
         at = {w: i + 1 for i, w in enumerate(self.vocabulary)}
         self.base = len(at) + 2
         self.words = [np.array([at[w] for w in ws], np.int64) for ws in lists]
-        held: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        held: dict[int, dict[int, None]] = defaultdict(dict)
         for i, ws in enumerate(self.words):
-            for j, c in enumerate(codes(ws, self.base)):
-                held[int(c)].append((i, j))
-        self.held = dict(held)
-        self.weight = {c: 1.0 / len({i for i, _ in v}) for c, v in held.items()}
+            for c in codes(ws, self.base):
+                held[int(c)][i] = None
+        self.held = {c: list(v) for c, v in held.items()}
         self.seeds = np.array(sorted(held), np.int64)
 
 
@@ -94,6 +101,41 @@ def _sweep(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Score of the best local alignment of each (item, text), many at a time."""
+    out = np.zeros(len(pairs), np.int64)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
+    begin = 0
+    while begin < len(order):
+        end = begin + 1
+        while end < len(order) and (len(pairs[order[end]][1]) + 1) * (end - begin + 1) <= CELLS:
+            end += 1
+        part = order[begin:end]
+        begin = end
+        high, wide = (max(len(pairs[k][x]) for k in part) for x in (0, 1))
+        kind = np.int16 if 2 * (high + wide) < 32_000 else np.int32
+        # words that stand nowhere fill up
+        item, text = np.full((high, len(part)), -1, np.int32), np.full((wide, len(part)), -2, np.int32)
+        for n, k in enumerate(part):
+            item[: len(pairs[k][0]), n], text[: len(pairs[k][1]), n] = pairs[k]
+        steps = (np.arange(wide + 1, dtype=kind) * kind(-GAP))[:, None]
+        row, best = np.zeros((wide + 1, len(part)), kind), np.zeros(len(part), kind)
+        for w in item:
+            new = np.maximum(row + kind(GAP), kind(0))
+            met = (text == w).astype(kind)
+            met *= kind(MATCH - MISMATCH)
+            met += row[:-1]
+            met += kind(MISMATCH)
+            np.maximum(new[1:], met, out=new[1:])
+            new += steps
+            np.maximum.accumulate(new, axis=0, out=new)
+            new -= steps
+            np.maximum(best, new.max(0), out=best)
+            row = new
+        out[part] = best
+    return out
+
+
 def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, float]:
     """(item words spanned, share of them met) of the best local alignment of the words."""
     score, i, j = _sweep(item, text)
@@ -105,8 +147,8 @@ def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, float]:
     return back, met / back
 
 
-def passages(items: Items, ids: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """(item index, words spanned, share met) of every item that stands in the text well enough."""
+def passages(items: Items, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(class of items, passage of the text that may hold them)."""
     c = codes(ids, items.base)
     at = np.searchsorted(items.seeds, c)
     at[at == len(items.seeds)] = 0
@@ -115,24 +157,28 @@ def passages(items: Items, ids: np.ndarray) -> Iterator[tuple[int, int, float]]:
         return
     per: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for p in hits:
-        for i, _ in items.held[int(c[p])]:
+        for i in items.held[int(c[p])]:
             per[i].append((int(p), int(c[p])))
     for i, found in per.items():
-        if len(found) < 2:
-            continue
         begin = 0
-        best = (0, 0.0)
         for k in range(1, len(found) + 1):
             if k < len(found) and found[k][0] - found[k - 1][0] <= PASSAGE_GAP:
                 continue
             group = found[begin:k]
             begin = k
-            if sum(items.weight[s] for s in {s for _, s in group}) < MIN_WEIGHT:
-                continue
-            lo, hi = max(0, group[0][0] - 30), group[-1][0] + SEED + 30
-            best = max(best, aligned(items.words[i], ids[lo:hi]))
-        if best[0]:
-            yield i, best[0], best[1]
+            if len({s for _, s in group}) >= MIN_SEEDS:
+                yield i, ids[max(0, group[0][0] - 30) : group[-1][0] + SEED + 30]
+
+
+def spans(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
+    """(class of items, place of the text, words spanned, share met) of every class that stands in a text well enough."""
+    tasks = [(i, k, passage) for k, ids in enumerate(texts) for i, passage in passages(items, ids)]
+    best: dict[tuple[int, int], tuple[int, float]] = {}
+    for (i, k, passage), score in zip(tasks, scores([(items.words[i], passage) for i, _, passage in tasks]), strict=True):
+        if score >= LEAST_SCORE:
+            best[i, k] = max(best.get((i, k), (0, 0.0)), aligned(items.words[i], passage))
+    for (i, k), (span, met) in best.items():
+        yield i, k, span, met
 
 
 def leaks(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -173,12 +219,10 @@ def _one_block(docs: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
                 known = np.asarray(pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1)) + 1
                 empty = np.asarray(pc.equal(flat, ""))
                 offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-                for k in range(len(lists)):
-                    part = slice(offsets[k], offsets[k + 1])
-                    # unknown words count as a word that no item has
-                    mine = known[part][~empty[part]]
-                    for i, span, met in passages(block, mine):
-                        rows.append((block.ids[i], keys[begin + k].as_py(), span, met))
+                # unknown words count as a word that no item has
+                read = [known[part][~empty[part]] for part in (slice(offsets[k], offsets[k + 1]) for k in range(len(lists)))]
+                for i, k, span, met in spans(block, read):
+                    rows.extend((item, keys[begin + k].as_py(), span, met) for item in block.ids[i])
             if rows:
                 a, b, c, d = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.float64())], names=["item_id", "doc_id", "span", "met"])

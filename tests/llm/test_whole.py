@@ -2,7 +2,7 @@
 
 import random
 
-from kinweave.llm import spellings, trie_join
+from kinweave.llm import align, spellings, trie_join
 
 
 def _lev(a, b):
@@ -61,3 +61,21 @@ def test_certificates_with_only_a_year_meet_all_dates(spark):
     rows = [(1, name("dremitkak"), 1891, "1891-01-02", "a", None), (2, name("dremitkak"), 1891, "1891-03-04", "b", None), (3, name("dremitkak"), 1891, None, None, None), (4, name("dremitkak"), 1892, None, None, None)]
     # the year alone links those with a short date; two different full dates are no pair
     assert _met(spark, rows, "match_entries") == {(1, 3), (2, 3)}
+
+
+def _leaks(spark, docs, items, **kw):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item_id long, item_text string")
+    found = align.leaks(d, i, **kw).filter(f"span >= {align.MIN_SPAN} and met >= {align.MIN_MATCHED}")
+    return sorted((r.item_id, r.doc_id) for r in found.collect())
+
+
+def test_wording_shared_by_many_items_leaks_from_all(spark):
+    shared = [f"s{k}" for k in range(25)]
+    items = [" ".join([f"a{i}x{k}" for k in range(20)] + shared) for i in range(30)]
+    docs = ["before " + " ".join(shared) + " after", "nothing of it"]
+    want = [(i, 0) for i in range(30)]
+    assert _leaks(spark, docs, items) == want
+    assert _leaks(spark, docs, items, block_words=100) == want
+    # equal items are one class, and each is reported
+    assert _leaks(spark, docs, [items[0]] * 100) == [(i, 0) for i in range(100)]
