@@ -2,7 +2,8 @@
 
 The items are a stated query set; they are taken in blocks whose n-gram table has a fixed size limit, and each block is
 held against all documents in one pass.  A document becomes words without markup; words outside the items' vocabulary
-can start no seed.  Seeds (item n-grams) that lie near each other in a document mark a passage, and Smith-Waterman over words decides how much of the item stands there, edits included.
+can start no seed.  Seeds (item n-grams) that lie near each other in a document mark a passage, and Smith-Waterman over words decides how much of the item stands there, edits included: any passage and
+any stretch of an alignment that is long and clean enough counts.
 """
 
 from __future__ import annotations
@@ -83,14 +84,15 @@ def codes(ids: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def _sweep(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """(score, item end, text end) of the best local alignment."""
+def _sweep(item: np.ndarray, text: np.ndarray, taken: np.ndarray | None = None) -> tuple[int, int, int]:
+    """(score, item end, text end) of the best local alignment that meets no pair of words in ``taken``."""
     steps = np.arange(len(text) + 1) * -GAP
     row = np.zeros(len(text) + 1, np.int64)
     best = (0, 0, 0)
     for i, w in enumerate(item):
         new = np.zeros(len(text) + 1, np.int64)
-        new[1:] = row[:-1] + np.where(text == w, MATCH, MISMATCH)
+        same = text == w if taken is None else (text == w) & ~taken[i]
+        new[1:] = row[:-1] + np.where(same, MATCH, MISMATCH)
         np.maximum(new, row + GAP, out=new)
         np.maximum(new, 0, out=new)
         new = np.maximum.accumulate(new + steps) - steps
@@ -136,15 +138,69 @@ def scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
+def _met(item: np.ndarray, text: np.ndarray, same: np.ndarray) -> list[tuple[int, int]]:
+    """(item word, text word) met by the best alignment of the whole of both; ``same`` tells which may meet."""
+    steps = np.arange(len(text) + 1) * -GAP
+    rows = [-steps]
+    for i in range(len(item)):
+        new = rows[-1] + GAP
+        np.maximum(new[1:], rows[-1][:-1] + np.where(same[i], MATCH, MISMATCH), out=new[1:])
+        rows.append(np.maximum.accumulate(new + steps) - steps)
+    i, j = len(item), len(text)
+    out = []
+    while i and j:
+        here = rows[i][j]
+        if here == rows[i - 1][j - 1] + (MATCH if same[i - 1, j - 1] else MISMATCH):
+            i, j = i - 1, j - 1
+            if same[i, j]:
+                out.append((i, j))
+        elif here == rows[i - 1][j] + GAP:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def stretch(met: np.ndarray) -> tuple[int, float]:
+    """(words, share of them met) of the longest stretch of at least MIN_SPAN words that reaches MIN_MATCHED.
+
+    All words, if there is none.
+    """
+    seen = np.concatenate([[0], np.cumsum(met)])
+    for size in range(len(met), MIN_SPAN - 1, -1):
+        most = int((seen[size:] - seen[:-size]).max())
+        if most >= MIN_MATCHED * size:
+            return size, most / size
+    return len(met), float(met.mean())
+
+
+def good(found: tuple[int, float]) -> bool:
+    return found[0] >= MIN_SPAN and found[1] >= MIN_MATCHED
+
+
 def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, float]:
-    """(item words spanned, share of them met) of the best local alignment of the words."""
-    score, i, j = _sweep(item, text)
-    if not score:
-        return 0, 0.0
-    _, back, forth = _sweep(item[:i][::-1], text[:j][::-1])
-    # met words m of a span s with text span t: score = 2 m - (changed, added and left out words); those are about max(s, t) - m
-    met = (score + max(back, forth)) / 3
-    return back, met / back
+    """(item words spanned, share of them met) of the best stretch of a local alignment of the words.
+
+    Alignments are taken best first, each without the pairs of words the ones before have met, until a stretch is good
+    or nothing is left that could hold one.
+    """
+    first = (0, 0.0)
+    taken = np.zeros((len(item), len(text)), bool)
+    while True:
+        score, i, j = _sweep(item, text, taken)
+        if score < (LEAST_SCORE if first[0] else 1):
+            return first
+        _, back, forth = _sweep(item[:i][::-1], text[:j][::-1], taken[:i, :j][::-1, ::-1])
+        lo, at = i - back, j - forth
+        same = (item[lo:i, None] == text[None, at:j]) & ~taken[lo:i, at:j]
+        pairs = _met(item[lo:i], text[at:j], same)
+        met = np.zeros(back, bool)
+        for x, y in pairs:
+            met[x] = taken[lo + x, at + y] = True
+        found = stretch(met)
+        if good(found):
+            return found
+        first = first if first[0] else found
 
 
 def passages(items: Items, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -176,7 +232,7 @@ def spans(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int
     best: dict[tuple[int, int], tuple[int, float]] = {}
     for (i, k, passage), score in zip(tasks, scores([(items.words[i], passage) for i, _, passage in tasks]), strict=True):
         if score >= LEAST_SCORE:
-            best[i, k] = max(best.get((i, k), (0, 0.0)), aligned(items.words[i], passage))
+            best[i, k] = max(best.get((i, k), (0, 0.0)), aligned(items.words[i], passage), key=lambda x: (good(x), x))
     for (i, k), (span, met) in best.items():
         yield i, k, span, met
 

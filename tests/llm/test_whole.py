@@ -79,3 +79,16 @@ def test_wording_shared_by_many_items_leaks_from_all(spark):
     assert _leaks(spark, docs, items, block_words=100) == want
     # equal items are one class, and each is reported
     assert _leaks(spark, docs, [items[0]] * 100) == [(i, 0) for i in range(100)]
+
+
+def test_a_clean_stretch_counts_beside_noise(spark):
+    item = [f"w{k}" for k in range(100)]
+    noisy = lambda ws, n: [w if k % n else f"x{k}" for k, w in enumerate(ws)]
+    # 25 words in a row, then every second one changed
+    run_on = item[:25] + noisy(item[25:45], 2)
+    # a long noisy passage, and elsewhere a clean one
+    elsewhere = noisy(item[30:100], 3) + ["z"] * 90 + item[:26]
+    # the same close together, so that both are one passage
+    close = noisy(item[30:100], 3) + ["z"] * 12 + item[:26]
+    none = noisy(item[:60], 3)
+    assert _leaks(spark, [" ".join(x) for x in (run_on, elsewhere, close, none)], [" ".join(item)]) == [(0, 0), (0, 1), (0, 2)]
