@@ -136,3 +136,9 @@ def test_soft_logic_is_converged(spark):
     assert set(got) == set(want)
     assert max(abs(got[p] - want[p]) for p in want) < 1e-3
     assert got[1] > 0.506 and got[2] > 0.505
+
+
+def test_frequent_spellings_meet(spark):
+    # 17 and 61 records hold the two spellings
+    rows = [(k, [w, "matilda"], 1930, "1930-04-26", "p", None) for k, w in enumerate(["lendabnovic"] * 17 + ["lendanovic"] * 61)]
+    assert _met(spark, rows, "match_entries") >= {(a, b) for a in range(17) for b in range(17, 78)}
