@@ -142,3 +142,9 @@ def test_frequent_spellings_meet(spark):
     # 17 and 61 records hold the two spellings
     rows = [(k, [w, "matilda"], 1930, "1930-04-26", "p", None) for k, w in enumerate(["lendabnovic"] * 17 + ["lendanovic"] * 61)]
     assert _met(spark, rows, "match_entries") >= {(a, b) for a in range(17) for b in range(17, 78)}
+
+
+def test_registry_records_one_year_apart_meet(spark):
+    name = ["varkodos", "franjo"]
+    rows = [(1, name, 1877, None, "tutriste", None), (2, name, 1876, None, "tutris.", None), (3, name, 1879, None, "x", None)]
+    assert _met(spark, rows, "export_xlsx") == {(1, 2)}
