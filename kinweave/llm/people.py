@@ -1,16 +1,16 @@
-"""One frame of person records over the three registries, with plain and sound-folded attributes."""
+"""One frame of person records over the registries, with plain and sound-folded attributes."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.places import AFTER, BEFORE
-from kinweave.llm.spell import CYRILLIC, CYRILLIC_TWO, SOUNDS, _plain, sound
+from kinweave.llm.spell import CYRILLIC, CYRILLIC_TWO, SOUNDS, _plain
 from kinweave.llm.text_forms import LOOKALIKES
 from kinweave.plans.runtime import table
 
@@ -19,67 +19,43 @@ NOT_NAMES = ["dr", "prof", "ing", "inc", "mr", "mag", "gda", "gdia", "gosp", "ro
 NOT_NAMES_SHORT = ["dr.", "prof.", "ing.", "inc.", "mr.", "mag.", "g.", "gosp.", "rod.", "ud.", "geb.", "ml.", "st."]
 MISSING = ["", "-", "*", "9999", "?"]
 
-
-def given(c: Column) -> Column:
-    """Null for marks of missing values."""
-    return F.when(~F.trim(c).isin(MISSING), c)
-
-
-def year(c: Column) -> Column:
-    """The year a field begins with; null if there is none."""
-    y = F.expr("null") if c is None else F.regexp_extract(c, r"^\s*(\d{4})", 1).try_cast("int")
-    return F.when(y.between(1800, 1999), y)
-
-
-def name_tokens(text: Column) -> Column:
-    """Words of a plain name in sound folding; a final full stop stays as the mark of an abbreviation.
-
-    Bracketed words (a father's name) are left out.  "Surname, Given" and words after a maiden-name mark need no special order: every comparison of tokens is free of order.
-    """
-    bare = F.when(text.contains("("), F.regexp_replace(text, r"\(.*?\)", " ")).otherwise(text)
-    # folded as one text, so that it stays in generated code
-    words = F.regexp_extract_all(sound(F.translate(bare, "'-", "")), F.lit(r"[a-z]+\.?"), F.lit(0))
-    return F.array_except(words, F.array(*[F.lit(x) for x in NOT_NAMES + NOT_NAMES_SHORT]))
-
-
 #: Numbers of the tables in record ids.
 TABLES = ["export_xlsx", "export_xlsx_partial", "match_entries"]
 
+# Raw columns of each table in the order of ``_RAW``; None where a table has none.
+_RAW = ["given", "family", "born", "place", "father", "dyear", "dplace", "camp", "sex"]
+_COLUMNS = {
+    "export_xlsx": ("row_id", [None, "name_and_surname", "Date of Birth:", "Place of Birth:", "Father Name:", "Year of Death:", "Death Place:", "Camp:", "Sex:"]),
+    "export_xlsx_partial": ("IDNumber", ["Name", "Surname", "BirthYear", "Place", "FatherName", "DeathYear", "DeathPlace", None, None]),
+    "match_entries": ("row_idx", ["name", "surname", "birth_date", "birth_place", None, None, None, None, None]),
+}
+#: What makes the stored name of a table.
+_STORED = {"export_xlsx": ["name_and_surname"], "export_xlsx_partial": ["Name", "Surname"], "match_entries": ["surname"]}
+_FOLDED = "tokens array<string>, given_n int, byear int, byear2 int, bdate int, place string, father string, dyear int, dplace string, sex string"
 
-def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rid, tab, key, r, tokens, byear, byear2, bdate, place, father, dyear, dplace, sex.
 
-    One row per delivery; ``rid`` (key and table in one number) is the record, ``r`` a hash of its raw name.
+def people(spark: SparkSession, sf_dir: str, tables: list[str] = TABLES) -> DataFrame:
+    """rid, r, nid, tokens, given_n, byear, byear2, bdate, place, father, dyear, dplace, sex.
+
+    One row per delivery.  ``rid`` (four times the key, and the number of the table) is the record, ``r`` a hash of its
+    stored name and ``nid`` one of its folded name.  ``given_n`` of the tokens are from a column of given names, -1 where
+    names are not split.  ``bdate`` is yyyymmdd.  Records without a key are left out; missing values are null.
     """
-    t = lambda n: table(spark, sf_dir, n)
-    none = F.lit(None).cast("string")
-    a = t("export_xlsx").select(
-        F.lit("export_xlsx").alias("tab"), F.col("row_id").alias("key"), F.col("name_and_surname").alias("raw"), F.col("name_and_surname").alias("name"),
-        year(F.regexp_replace("`Date of Birth:`", r"\s*\[.*", "")).alias("byear"), none.alias("bdate"), given(F.col("`Place of Birth:`")).alias("place"), given(F.col("`Father Name:`")).alias("father"),
-        year(F.col("`Year of Death:`")).alias("dyear"), given(F.coalesce(given(F.col("`Death Place:`")), F.col("`Camp:`"))).alias("dplace"), F.upper(given(F.col("`Sex:`"))).alias("sex"),
-        F.regexp_extract("`Date of Birth:`", r"\[(\d{4})", 1).try_cast("int").alias("byear2"),
-    )
-    b = t("export_xlsx_partial").select(
-        F.lit("export_xlsx_partial"), F.expr("try_cast(trim(IDNumber) as bigint)"), F.concat(F.coalesce("Name", F.lit("")), F.lit("|"), F.coalesce("Surname", F.lit(""))),
-        F.concat_ws(" ", "Name", "Surname"), year(F.col("BirthYear")), none, given(F.col("Place")), given(F.col("FatherName")), year(F.col("DeathYear")), given(F.col("DeathPlace")), none, F.lit(None).cast("int"),
-    )
-    c = t("match_entries").select(
-        F.lit("match_entries"), F.col("row_idx"), F.col("surname"), F.concat_ws(" ", "name", "surname"), year(F.col("birth_date")),
-        F.when(F.col("birth_date").rlike(r"^\d{4}-\d\d-\d\d$"), F.col("birth_date")), given(F.col("birth_place")), none, F.lit(None).cast("int"), none, none, F.lit(None).cast("int"),
-    )
-    rows = a.unionAll(b).unionAll(c).filter("key is not null")
-    code = F.array_position(F.array(*[F.lit(x) for x in TABLES]), F.col("tab")) - 1
-    rows = rows.withColumn("rid", F.col("key") * 4 + code)
-    rows = rows.withColumn("r", F.xxhash64("raw"))
-    kept = ["rid", "tab", "key", "r", "byear", "byear2", "bdate", "dyear", "sex"]
-    folded = [("name", "tokens"), ("place", "place"), ("dplace", "dplace"), ("father", "father")]
-    kinds = {"tokens": "array<string>"}
-    schema = ", ".join([f"{c} {dict(rows.dtypes)[c]}" for c in kept] + [f"{new} {kinds.get(new, 'string')}" for _, new in folded])
-    return rows.select(*kept, *[old for old, _ in folded]).mapInArrow(_fold_batches, schema)
-
-
-# The same folding as in ``spell`` and ``places``, over Arrow batches: as one expression tree it is too large for the
-# JVM's compiler and runs interpreted, several times slower than this.
+    rows = None
+    for name in tables:
+        key, cols = _COLUMNS[name]
+        df = table(spark, sf_dir, name)
+        key_col = F.expr(f"try_cast(trim({key}) as bigint)") if key == "IDNumber" else F.col(key)
+        stored = F.hash(*[F.coalesce(F.col(c), F.lit("")) for c in _STORED[name]])
+        raw = [(F.lit(None).cast("string") if c is None else F.col(f"`{c}`")).alias(n) for n, c in zip(_RAW, cols, strict=True)]
+        part = df.select((key_col * 4 + TABLES.index(name)).alias("rid"), stored.alias("r"), *raw).filter("rid is not null")
+        rows = part if rows is None else rows.unionAll(part)
+    folded = rows.mapInArrow(_fold_batches, f"rid bigint, r int, {_FOLDED}")
+    return folded.withColumn("nid", F.xxhash64("tokens"))
+
+
+# Folding runs over Arrow batches in Python: as one expression tree it is too large for the JVM's compiler and runs
+# interpreted, several times slower.  Distinct values are folded once and remembered up to a bound.
 _CASE = str.maketrans({k: v.lower() for k, v in LOOKALIKES.items()})
 _CYR = str.maketrans(CYRILLIC | CYRILLIC_TWO)
 _MARKS = str.maketrans(dict(zip(*_plain(), strict=True)) | {"ǆ": "dz", "ǉ": "lj", "ǌ": "nj", "ß": "ss", "ﬁ": "fi", "ﬂ": "fl"})
@@ -89,11 +65,16 @@ _ANY_CYR = re.compile("[\u0400-\u04ff]")
 _KEYS = str.maketrans("wyjz", "viic")
 _TWICE = re.compile(r"([a-z])\1+")
 _WORDS = re.compile(r"[a-z]+\.?")
+_DOUBLE = re.compile(r"-(?=[A-ZČĆĐŠŽ])")
 _BRACKETS = re.compile(r"\(.*?\)")
 _BARE = re.compile("[A-ZČĆĐŠŽ][a-zčćđšž]+(?: [A-ZČĆĐŠŽ][a-zčćđšž]+)?")
 _BEFORE, _AFTER = re.compile(BEFORE), re.compile(AFTER)
 _GONE = str.maketrans("", "", " -'/()?*0123456789")
 _SKIP = {*NOT_NAMES, *NOT_NAMES_SHORT}
+_DATE = re.compile(r"\s*(?:(\d{4})(?:-(\d\d)-(\d\d))?|(\d\d?)\.\s?(\d\d?)\.\s?(\d{4}))(?:\s*\[(\d{4})\])?")
+_NONE = {*MISSING}
+#: Values of a column that a worker remembers.
+REMEMBERED = 200_000
 
 
 def _low(s: str) -> str:
@@ -115,10 +96,23 @@ def _key(low: str) -> str:
 
 
 def _tokens(s: str) -> list[str]:
+    """Words of a name in sound folding; a final full stop stays as the mark of an abbreviation.
+
+    Bracketed words (a father's name) are left out, double names become two words.  "Surname, Given" needs no special
+    order: names are compared free of order.
+    """
+    if "-" in s:
+        s = _DOUBLE.sub(" ", s)
     low = _low(s)
     if "(" in low:
         low = _BRACKETS.sub(" ", low)
-    return [w for w in dict.fromkeys(_WORDS.findall(_key(low.replace("'", "").replace("-", "")))) if w not in _SKIP]
+    return list(dict.fromkeys(_WORDS.findall(_key(low.replace("'", "").replace("-", "")))))
+
+
+def _untitled(words: list[str]) -> list[str]:
+    """Without titles, if a given name and a surname can be left."""
+    kept = [w for w in words if w not in _SKIP]
+    return kept if len(kept) > 1 else words
 
 
 def _place(s: str) -> str | None:
@@ -130,17 +124,62 @@ def _place(s: str) -> str | None:
     return _key(low) if len(low) > 2 else None
 
 
-def _father(s: str) -> str:
-    return _key(_low(s).translate(_GONE))
+def _father(s: str) -> str | None:
+    return _key(_low(s).translate(_GONE)) or None
+
+
+def _year(s: str | None) -> int | None:
+    return int(s) if s and 1800 <= int(s) <= 1999 else None
+
+
+def _born(s: str) -> tuple[int | None, int | None, int | None]:
+    """Year, second year in brackets, full date as a number."""
+    m = _DATE.match(s)
+    if not m:
+        return None, None, None
+    y, month, day, d2, m2, y2, other = m.groups()
+    year = _year(y or y2)
+    full = None
+    if year and (month or y2):
+        full = int(y) * 10000 + int(month) * 100 + int(day) if y else int(y2) * 10000 + int(m2) * 100 + int(d2)
+    return year, _year(other), full
+
+
+class _Memory(dict):
+    """Folded values; missing and null give ``nothing``."""
+
+    def __init__(self, fold: Callable, nothing: object = None):
+        super().__init__()
+        self.fold, self.nothing = fold, nothing
+
+    def __missing__(self, v: str | None):
+        out = self.nothing if v is None or v.strip() in _NONE else self.fold(v)
+        if len(self) < REMEMBERED:
+            self[v] = out
+        return out
 
 
 def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words, place, father, born = _Memory(_tokens, []), _Memory(_place), _Memory(_father), _Memory(_born, (None, None, None))
+    died = _Memory(lambda s: _born(s)[0])
+    sex = _Memory(lambda s: s.strip().upper())
     for batch in batches:
-        cols = batch.columns
-        made = []
-        for col, fold in zip(cols[-4:], (_tokens, _place, _place, _father), strict=True):
-            # every distinct value of a batch is folded once
-            words = col.dictionary_encode()
-            done = pa.array([None if v is None else fold(v) for v in words.dictionary.to_pylist()], pa.list_(pa.string()) if fold is _tokens else pa.string())
-            made.append(done.take(words.indices))
-        yield pa.RecordBatch.from_arrays([*cols[:-4], *made], names=[*batch.schema.names[:-4], "tokens", "place", "dplace", "father"])
+        cols = {n: batch.column(i + 2).to_pylist() for i, n in enumerate(_RAW)}
+        tokens, given_n = [], []
+        for g, f in zip(cols["given"], cols["family"], strict=True):
+            if g is None:
+                tokens.append(_untitled(words[f]))
+                given_n.append(-1)
+            else:
+                first, rest = words[g], words[f]
+                both = _untitled([*first, *(w for w in rest if w not in first)])
+                tokens.append(both)
+                given_n.append(sum(w in first for w in both))
+        dates = [born[v] for v in cols["born"]]
+        y, y2, full = zip(*dates, strict=True) if dates else ((), (), ())
+        where = [place[d] or place[c] for d, c in zip(cols["dplace"], cols["camp"], strict=True)]
+        made = [
+            pa.array(tokens, pa.list_(pa.string())), pa.array(given_n, pa.int32()), pa.array(y, pa.int32()), pa.array(y2, pa.int32()), pa.array(full, pa.int32()), pa.array([place[v] for v in cols["place"]], pa.string()),
+            pa.array([father[v] for v in cols["father"]], pa.string()), pa.array([died[v] for v in cols["dyear"]], pa.int32()), pa.array(where, pa.string()), pa.array([sex[v] for v in cols["sex"]], pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["rid", "r", *[f.split()[0] for f in _FOLDED.split(", ")]])

@@ -1,11 +1,15 @@
 """Trie join: all pairs of distinct words within a bounded edit distance (problem 1).
 
-Words are sharded into tries: once by their first letters, once, reversed, by their last ones.  A pair whose edits leave
-either end untouched meets in a shard.  A pair whose edits touch both ends has its first edit among the first letters and
-its last one among the last; with at most two edits there are no others, so what is left of both words without the edited
-letters is equal, and they meet there.  Inside a shard the trie is joined with itself: like a Levenshtein automaton run
-for all words at once, each node keeps the set of nodes whose distance from it is within the bound; a child's set
-follows from its parent's, so common prefixes are worked on once.  Node sets are numpy arrays over a level of the trie.
+The trie is joined with itself: like a Levenshtein automaton run for all words at once, each node keeps the set of nodes
+whose distance from it is within the bound; a child's set follows from its parent's, so common prefixes are worked on
+once.  Node sets are numpy arrays over a level of the trie.
+
+A vocabulary up to WHOLE words (its size is counted first) is sent to every task, and the tries of its first letters are
+shared out: a task follows the words below its own prefixes through the whole trie, so every pair within the bound is met.
+Beyond that size words are sharded: once by their first letters, once, reversed, by their last ones.  A pair whose edits
+leave either end untouched meets in a shard.  A pair whose edits touch both ends has its first edit among the first
+letters and its last one among the last; with at most two edits there are no others, so what is left of both words
+without the edited letters is equal, and they meet there.
 """
 
 from __future__ import annotations
@@ -14,9 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.plans.runtime import cut
+
 #: Letters at either end that shards are cut by.
 END = 3
 #: Largest distance followed in the trie.
@@ -25,6 +32,10 @@ MAX_EDITS = 2
 MIN_LENGTH = 4
 #: Words of a shard whose neighbours are searched at a time (bounds the size of the level arrays).
 STEP = 20_000
+#: Words of a vocabulary that is sent to every task: some 20 MB at most.
+WHOLE = 1_000_000
+#: Letters of the prefixes that tasks share out of a whole vocabulary; fewer than MIN_LENGTH.
+SHARED = 3
 
 
 class Trie:
@@ -84,11 +95,18 @@ def _least(a: np.ndarray, b: np.ndarray, d: np.ndarray, total: int) -> tuple[np.
     return pair // total, pair % total, key & 7
 
 
-def neighbours(trie: Trie, roots: np.ndarray, level: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(word, word, distance) of all pairs below the same root within distance k."""
+def neighbours(trie: Trie, roots: np.ndarray, level: int, k: int, only: tuple[int, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word, word, distance) of all pairs below the same root within distance k.
+
+    ``only``: a level and a mask of its nodes; first words are followed below these only.
+    """
     a = b = roots
     d = np.zeros(len(roots), np.int64)
     while len(a):
+        if only is not None and level == only[0]:
+            keep = only[1][a]
+            a, b, d = a[keep], b[keep], d[keep]
+        level += 1
         for _ in range(k):  # letters that only the second word has
             can = d < k
             of, kid = trie.children(b[can])
@@ -148,15 +166,45 @@ def _both_ends(plain: DataFrame, k: int) -> DataFrame:
     return near.unionAll(near.select("b", "a", "d"))
 
 
-def trie_join(words: DataFrame, column: str, k: int = MAX_EDITS) -> DataFrame:
+def _in_whole(plain: DataFrame, k: int) -> DataFrame:
+    """(a, b, d) by the trie of all words in every task; each follows the words below its share of the prefixes."""
+    spark = plain.sparkSession
+    held = spark.sparkContext.broadcast(sorted(r.w.encode() for r in plain.collect()))
+    shares = 2 * spark.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not held.value or not batch.num_rows:
+                continue
+            trie = Trie(held.value)
+            words = pa.array([w.decode() for w in held.value])
+            mine = np.zeros(trie.total, bool)
+            tops = np.unique(trie.at[SHARED])
+            mine[tops[np.isin(np.arange(len(tops)) % shares, batch.column(0).to_numpy())]] = True
+            for a, b, d in neighbours(trie, np.zeros(1, np.int64), 0, k, (SHARED, mine)):
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(a)), words.take(pa.array(b)), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
+
+    return spark.range(0, shares, 1, shares).mapInArrow(run, "a string, b string, d int")
+
+
+def trie_join(words: DataFrame, column: str, k: int = MAX_EDITS, whole: int = WHOLE) -> DataFrame:
     """(a, b, d): pairs of different words of ``column`` (plain letters) at Levenshtein distance d <= k.
 
     Both directions are given, and every pair is met (k is 1 or 2).  Words shorter than MIN_LENGTH and nulls take no
-    part.  Repeated words count once; other columns are ignored.
+    part.  Repeated words count once; other columns are ignored.  Vocabularies up to ``whole`` words are sent to all
+    tasks, larger ones are sharded; the result is the same.
     """
     if k not in (1, MAX_EDITS):
         raise ValueError(f"k must be 1 or {MAX_EDITS}")
     plain = words.select(F.col(column).alias("w")).filter(F.length("w") >= MIN_LENGTH).distinct()
+    if whole:
+        plain = cut(plain)
+        if plain.count() <= whole:
+            return _in_whole(plain, k)
+    return _sharded(plain, k)
+
+
+def _sharded(plain: DataFrame, k: int) -> DataFrame:
     ways = plain.select(F.explode(F.array(F.struct(F.lit(False).alias("back"), F.col("w")), F.struct(F.lit(True).alias("back"), F.reverse("w").alias("w")))).alias("x")).select("x.*")
     ways = ways.withColumn("shard", F.concat(F.col("back").cast("string"), F.substring("w", 1, END))).repartition("shard").sortWithinPartitions("shard")
 
