@@ -1,9 +1,12 @@
-"""Test items inside training text: rare n-gram seeds, then local alignment (problem 8).
+"""Test items inside training text: n-gram seeds join documents to items, then local alignment (problem 8).
 
-The items are a stated query set; they are taken in blocks whose n-gram table has a fixed size limit, and each block is
-held against all documents in one pass.  A document becomes words without markup; words outside the items' vocabulary
-can start no seed.  Seeds (item n-grams) that lie near each other in a document mark a passage, and Smith-Waterman over words decides how much of the item stands there, edits included: any passage and
-any stretch of an alignment that is long and clean enough counts.
+A document becomes words without markup.  Seeds (item n-grams) that lie near each other and in order in a document mark a
+passage, and Smith-Waterman over words decides how much of the item stands there, edits included: any passage and any
+stretch of an alignment that is long and clean enough counts.
+
+The items' words are counted first.  Up to WHOLE_WORDS of them are sent to every task and all documents are read once.  Beyond that
+the seeds of documents (those that a bitmap of fixed size over the items' seeds lets pass) are joined with the seeds of
+items, and the pairs that share enough are aligned.
 """
 
 from __future__ import annotations
@@ -12,21 +15,29 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.plans.runtime import cut
+
 #: Words of a seed.
 SEED = 3
-#: Words of the items in one block; their seeds are what is sent to every task (about 40 bytes a word).
-BLOCK_WORDS = 500_000
+#: Words of the items that are sent to every task (about 100 bytes a word).
+WHOLE_WORDS = 1_000_000
+#: Bits of the map of item seeds.
+MAP_BITS = 1 << 24
 #: Item words that have to be spanned by the alignment, and the share of them that must be met.
 MIN_SPAN = 25
 MIN_MATCHED = 0.8
-#: Distinct seeds of one item that a passage needs before it is aligned, however many items hold them.  Twenty of 25 words
-#: in order with five changed have eight at least; fewer are left only where words are added too.
-MIN_SEEDS = 2
+#: Seeds of one item that a passage needs before it is aligned, however many items hold them.  Of the 23 seeds of 25 words a
+#: changed, added or left out word breaks three at most, so six such words leave five.
+MIN_SEEDS = 5
+#: Words added or left out that seeds of a passage may be apart in the item and in the text, and words of the text they lie in.
+DRIFT = 6
+REACH = MIN_SPAN + DRIFT
 #: Words without a seed that end a passage.
 PASSAGE_GAP = 40
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -65,12 +76,13 @@ class Items:
         at = {w: i + 1 for i, w in enumerate(self.vocabulary)}
         self.base = len(at) + 2
         self.words = [np.array([at[w] for w in ws], np.int64) for ws in lists]
-        held: dict[int, dict[int, None]] = defaultdict(dict)
-        for i, ws in enumerate(self.words):
-            for c in codes(ws, self.base):
-                held[int(c)][i] = None
-        self.held = {c: list(v) for c, v in held.items()}
-        self.seeds = np.array(sorted(held), np.int64)
+        every = [codes(ws, self.base) for ws in self.words]
+        code = np.concatenate([*every, np.zeros(0, np.int64)])
+        order = np.argsort(code, kind="stable")
+        self.seeds, self.begin = np.unique(code[order], return_index=True)
+        self.begin = np.append(self.begin, len(code))
+        self.cls = np.repeat(np.arange(len(every)), [len(c) for c in every])[order]
+        self.at = np.concatenate([*(np.arange(len(c)) for c in every), np.zeros(0, np.int64)])[order]
 
 
 def codes(ids: np.ndarray, base: int) -> np.ndarray:
@@ -203,32 +215,64 @@ def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, float]:
         first = first if first[0] else found
 
 
-def passages(items: Items, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(class of items, passage of the text that may hold them)."""
-    c = codes(ids, items.base)
+def dense(cls: np.ndarray, text_at: np.ndarray, item_at: np.ndarray) -> np.ndarray:
+    """Which seeds lie with MIN_SEEDS or more of the same item within DRIFT and REACH (a few more are let through).
+
+    Seeds are counted in overlapping steps of place and shift, so every such group lies in one of them as a whole.
+    """
+    shift = text_at - item_at
+    keep = np.zeros(len(cls), bool)
+    for ds in (0, DRIFT):
+        for dp in (0, REACH):
+            key = np.stack([cls, (shift + ds) // (2 * DRIFT), (text_at + dp) // (2 * REACH)])
+            _, of, n = np.unique(key, axis=1, return_inverse=True, return_counts=True) if len(cls) else (None, np.zeros(0, int), np.zeros(0, int))
+            keep |= n[of.ravel()] >= MIN_SEEDS
+    return keep
+
+
+def passages(items: Items, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(class of items, begin, end) of the passages of texts (behind each other, zeros between) that may hold them."""
+    known = ids > 0
+    may = np.flatnonzero(np.logical_and.reduce([known[k : len(ids) - SEED + 1 + k] for k in range(SEED)])) if len(ids) >= SEED else np.zeros(0, np.int64)
+    if not len(may) or not len(items.seeds):
+        return
+    c = np.zeros(len(may), np.int64)
+    for k in range(SEED):
+        c = c * items.base + ids[may + k]
     at = np.searchsorted(items.seeds, c)
     at[at == len(items.seeds)] = 0
-    hits = np.flatnonzero(items.seeds[at] == c)
-    if len(hits) < 2:
+    met = items.seeds[at] == c
+    may, at = may[met], at[met]
+    n = items.begin[at + 1] - items.begin[at]
+    where = np.repeat(items.begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    p, cls, q = np.repeat(may, n), items.cls[where], items.at[where]
+    keep = dense(cls, p, q)
+    p, cls, q = p[keep], cls[keep], q[keep]
+    if not len(p):
         return
-    per: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for p in hits:
-        for i in items.held[int(c[p])]:
-            per[i].append((int(p), int(c[p])))
-    for i, found in per.items():
-        begin = 0
-        for k in range(1, len(found) + 1):
-            if k < len(found) and found[k][0] - found[k - 1][0] <= PASSAGE_GAP:
-                continue
-            group = found[begin:k]
-            begin = k
-            if len({s for _, s in group}) >= MIN_SEEDS:
-                yield i, ids[max(0, group[0][0] - 30) : group[-1][0] + SEED + 30]
+    order = np.lexsort((p, cls))
+    p, cls, q = p[order], cls[order], q[order]
+    new = np.flatnonzero((np.diff(cls) != 0) | (np.diff(p) > PASSAGE_GAP)) + 1
+    for lo, hi in zip(np.append(0, new), np.append(new, len(p)), strict=True):
+        i = int(cls[lo])
+        # as far as the item can reach on either side of its seeds
+        before, after = int(q[lo:hi].max()) + 2 * DRIFT, len(items.words[i]) - int(q[lo:hi].min()) + 2 * DRIFT
+        yield i, max(0, int(p[lo]) - before), int(p[hi - 1]) + after
 
 
 def spans(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
     """(class of items, place of the text, words spanned, share met) of every class that stands in a text well enough."""
-    tasks = [(i, k, passage) for k, ids in enumerate(texts) for i, passage in passages(items, ids)]
+    gap = np.zeros(SEED, np.int64)
+    flat = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
+    ends = np.cumsum([len(t) + SEED for t in texts])
+    tasks = []
+    for i, lo, hi in passages(items, flat):
+        # seeds of one text only: the text is the one that the middle lies in
+        for k in range(int(np.searchsorted(ends, lo, "right")), min(len(texts), int(np.searchsorted(ends, hi, "left")) + 1)):
+            begin = int(ends[k]) - SEED - len(texts[k])
+            part = texts[k][max(0, lo - begin) : max(0, hi - begin)]
+            if len(part) >= MIN_SPAN // 2:
+                tasks.append((i, k, part))
     best: dict[tuple[int, int], tuple[int, float]] = {}
     for (i, k, passage), score in zip(tasks, scores([(items.words[i], passage) for i, _, passage in tasks]), strict=True):
         if score >= LEAST_SCORE:
@@ -237,50 +281,130 @@ def spans(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int
         yield i, k, span, met
 
 
-def leaks(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _read(items: Items, vocabulary: pa.Array, texts: pa.Array) -> list[np.ndarray]:
+    """Numbers of the words of each text; words that no item has are 0."""
+    lists = words_of(texts)
+    flat = lists.flatten()
+    known = np.asarray(pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1)).astype(np.int64) + 1
+    # an empty word stands at the ends of a text; it is dropped with its place
+    empty = np.asarray(pc.equal(flat, ""))
+    offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    return [known[part][~empty[part]] for part in (slice(offsets[k], offsets[k + 1]) for k in range(len(lists)))]
+
+
+_RESULT = "item_id long, doc_id long, span int, met double"
+#: Texts that are worked on together, and bytes of them.
+TEXTS, TEXT_BYTES = 200, 4_000_000
+
+
+def _some(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with a bounded number of texts and bytes."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))
+    begin = held = 0
+    for k in range(batch.num_rows):
+        if k > begin and (k - begin >= TEXTS or held + size[k] > TEXT_BYTES):
+            yield begin, k
+            begin, held = k, 0
+        held += int(size[k])
+    if batch.num_rows > begin:
+        yield begin, batch.num_rows
+
+
+def _rows(rows: list[tuple[int, int, int, float]]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        a, b, c, d = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.float64())], names=["item_id", "doc_id", "span", "met"])
+
+
+def leaks(documents: DataFrame, items: DataFrame, whole_words: int = WHOLE_WORDS) -> DataFrame:
     """(item_id, doc_id, span, met): documents that hold passages of items, with the item words spanned.
 
     ``documents``: doc_id, text; ``items``: item_id, item_text.  Null and empty texts hold nothing.  Repeated rows give
-    repeated results; other columns are ignored.  All documents are read whole, once per block of items; blocks are
-    cut by their number of words, so what tasks receive is bounded however many items there are.
+    repeated results; other columns are ignored.  Documents are read whole and once; items above ``whole_words`` words
+    are joined by their seeds, with the same result.
     """
-    spark = documents.sparkSession
-    docs = documents.select("doc_id", "text")
-    out = spark.createDataFrame([], "item_id long, doc_id long, span int, met double")
-    blocks: list[tuple[list[int], list[str]]] = [([], [])]
-    filled = 0
-    for row in items.select("item_id", "item_text").filter("item_text is not null").orderBy("item_id").toLocalIterator():
-        n = len(row.item_text) // 5
-        if blocks[-1][0] and filled + n > block_words:
-            out = out.unionAll(_one_block(docs, *blocks.pop()))
-            blocks.append(([], []))
-            filled = 0
-        blocks[-1][0].append(row.item_id)
-        blocks[-1][1].append(row.item_text)
-        filled += n
-    return out.unionAll(_one_block(docs, *blocks[-1])) if blocks[-1][0] else out
-
-
-def _one_block(docs: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
+    docs, held = documents.select("doc_id", "text"), items.select("item_id", "item_text").filter("item_text is not null")
+    n = held.agg(F.sum(F.length("item_text"))).first()[0] or 0
+    if n == 0:
+        return documents.sparkSession.createDataFrame([], _RESULT)
+    return _in_whole(docs, held) if n <= 5 * whole_words else _by_seeds(docs, held)
+
+
+def _in_whole(docs: DataFrame, items: DataFrame) -> DataFrame:
+    rows = items.orderBy("item_id").collect()
+    held = docs.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.item_text for r in rows]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Items(ids, texts)
+        block = Items(*held.value)
         vocabulary = pa.array(block.vocabulary, pa.string())
         for batch in batches:
-            rows: list[tuple[int, int, int, float]] = []
             keys = batch.column(0)
-            for begin in range(0, batch.num_rows, 500):
-                lists = words_of(batch.column(1).slice(begin, 500))
-                flat = lists.flatten()
-                # an empty word stands at the ends of a text; it is dropped with its place
-                known = np.asarray(pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1)) + 1
-                empty = np.asarray(pc.equal(flat, ""))
-                offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-                # unknown words count as a word that no item has
-                read = [known[part][~empty[part]] for part in (slice(offsets[k], offsets[k + 1]) for k in range(len(lists)))]
-                for i, k, span, met in spans(block, read):
-                    rows.extend((item, keys[begin + k].as_py(), span, met) for item in block.ids[i])
-            if rows:
-                a, b, c, d = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.float64())], names=["item_id", "doc_id", "span", "met"])
-
-    return docs.mapInArrow(run, "item_id long, doc_id long, span int, met double")
+            out: list[tuple[int, int, int, float]] = []
+            for begin, end in _some(batch):
+                for i, k, span, met in spans(block, _read(block, vocabulary, batch.column(1).slice(begin, end - begin))):
+                    out.extend((item, keys[begin + k].as_py(), span, met) for item in block.ids[i])
+            yield from _rows(out)
+
+    return docs.mapInArrow(run, _RESULT)
+
+
+def _seeds_of(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of each text, in order."""
+    for ws in words_of(texts):
+        words = np.array([w for w in (ws.as_py() or []) if w], object)
+        n = len(words) - SEED + 1
+        h = pd.util.hash_array(words, categorize=True) if len(words) else np.zeros(0, np.uint64)
+        out = np.zeros(max(0, n), np.uint64)
+        for k in range(SEED if n > 0 else 0):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+        yield out.astype(np.int64)
+
+
+def _seed_rows(df: DataFrame, key: str, bits: object = None) -> DataFrame:
+    """(key, s, at): the seeds of each text, those that the map ``bits`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None if bits is None else np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            for k, s in zip(batch.column(0).to_pylist(), _seeds_of(batch.column(1)), strict=True):
+                at = np.arange(len(s))
+                if held is not None:
+                    b = s % MAP_BITS
+                    keep = (held[b >> 3] >> (b & 7)) & 1 > 0
+                    s, at = s[keep], at[keep]
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k)), pa.array(s), pa.array(at)], names=[key, "s", "at"])
+
+    return df.mapInArrow(run, f"{key} long, s long, at long")
+
+
+def _by_seeds(docs: DataFrame, items: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    item_seeds = cut(_seed_rows(items, "item_id"))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MAP_BITS // 8, np.uint8)
+        for batch in batches:
+            b = batch.column(0).to_numpy() % MAP_BITS
+            np.bitwise_or.at(bits, b >> 3, (1 << (b & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+    # one map of MAP_BITS from each of a few tasks
+    maps = [np.frombuffer(r.bits, np.uint8) for r in item_seeds.select("s").coalesce(8).mapInArrow(mapped, "bits binary").collect()]
+    bits = spark.sparkContext.broadcast(np.bitwise_or.reduce(maps).tobytes())
+    hits = _seed_rows(docs.filter("text is not null"), "doc_id", bits).withColumnRenamed("at", "p").join(item_seeds.withColumnRenamed("at", "q"), "s")
+    steps = [F.struct(F.floor((F.col("p") - F.col("q") + ds) / (2 * DRIFT)).alias("d"), F.floor((F.col("p") + dp) / (2 * REACH)).alias("r"), F.lit(ds * 1000 + dp).alias("o")) for ds in (0, DRIFT) for dp in (0, REACH)]
+    near = hits.select("doc_id", "item_id", F.explode(F.array(*steps)).alias("x")).groupBy("doc_id", "item_id", "x").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SEEDS)
+    pairs = near.select("doc_id", "item_id").distinct()
+    both = pairs.join(docs.filter("text is not null"), "doc_id").join(items, "item_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int, float]] = []
+            for k, (doc, item, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                block = Items([item], [text])
+                for _, _, span, met in spans(block, _read(block, pa.array(block.vocabulary, pa.string()), batch.column(1).slice(k, 1))):
+                    out.append((item, doc, span, met))
+            yield from _rows(out)
+
+    return both.select("doc_id", "text", "item_id", "item_text").mapInArrow(run, _RESULT)

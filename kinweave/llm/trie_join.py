@@ -4,8 +4,8 @@ The trie is joined with itself: like a Levenshtein automaton run for all words a
 whose distance from it is within the bound; a child's set follows from its parent's, so common prefixes are worked on
 once.  Node sets are numpy arrays over a level of the trie.
 
-A vocabulary up to WHOLE words (its size is counted first) is sent to every task, and the tries of its first letters are
-shared out: a task follows the words below its own prefixes through the whole trie, so every pair within the bound is met.
+A vocabulary up to WHOLE words (its size is counted first) is sent to every task.  Each task follows a run of the sorted
+words, a part of the trie, through the whole trie, so every pair within the bound is met.
 Beyond that size words are sharded: once by their first letters, once, reversed, by their last ones.  A pair whose edits
 leave either end untouched meets in a shard.  A pair whose edits touch both ends has its first edit among the first
 letters and its last one among the last; with at most two edits there are no others, so what is left of both words
@@ -34,8 +34,6 @@ MIN_LENGTH = 4
 STEP = 20_000
 #: Words of a vocabulary that is sent to every task: some 20 MB at most.
 WHOLE = 1_000_000
-#: Letters of the prefixes that tasks share out of a whole vocabulary; fewer than MIN_LENGTH.
-SHARED = 3
 
 
 class Trie:
@@ -95,27 +93,33 @@ def _least(a: np.ndarray, b: np.ndarray, d: np.ndarray, total: int) -> tuple[np.
     return pair // total, pair % total, key & 7
 
 
-def neighbours(trie: Trie, roots: np.ndarray, level: int, k: int, only: tuple[int, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def neighbours(trie: Trie, roots: np.ndarray, level: int, k: int, run: slice | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(word, word, distance) of all pairs below the same root within distance k.
 
-    ``only``: a level and a mask of its nodes; first words are followed below these only.
+    ``run``: first words are those of this run of the sorted words only.
     """
+    mine = np.ones(trie.total, bool)
+    if run is not None:
+        mine[:] = False
+        for nodes in trie.at:
+            mine[nodes[run][nodes[run] >= 0]] = True
     a = b = roots
     d = np.zeros(len(roots), np.int64)
     while len(a):
-        if only is not None and level == only[0]:
-            keep = only[1][a]
-            a, b, d = a[keep], b[keep], d[keep]
-        level += 1
         for _ in range(k):  # letters that only the second word has
             can = d < k
             of, kid = trie.children(b[can])
             a, b, d = _least(np.concatenate([a, a[can][of]]), np.concatenate([b, kid]), np.concatenate([d, d[can][of] + 1]), trie.total)
         hit = (trie.word[a] >= 0) & (trie.word[b] >= 0) & (a != b)
         if hit.any():
-            yield trie.word[a[hit]], trie.word[b[hit]], d[hit]
+            x, y, z = trie.word[a[hit]], trie.word[b[hit]], d[hit]
+            if run is not None:  # a word that begins others may belong to another run
+                own = (x >= run.start) & (x < run.stop)
+                x, y, z = x[own], y[own], z[own]
+            yield x, y, z
         of, kid = trie.children(a)
-        a, b, d = kid, b[of], d[of]
+        own = mine[kid]
+        a, b, d = kid[own], b[of[own]], d[of[own]]
         x = trie.letter[a]
         of, other = trie.children(b)
         cost = d[of] + (trie.letter[other] != x[of])
@@ -167,7 +171,7 @@ def _both_ends(plain: DataFrame, k: int) -> DataFrame:
 
 
 def _in_whole(plain: DataFrame, k: int) -> DataFrame:
-    """(a, b, d) by the trie of all words in every task; each follows the words below its share of the prefixes."""
+    """(a, b, d) by the trie of all words in every task; each follows a run of the sorted words through it."""
     spark = plain.sparkSession
     held = spark.sparkContext.broadcast(sorted(r.w.encode() for r in plain.collect()))
     shares = 2 * spark.sparkContext.defaultParallelism
@@ -176,13 +180,11 @@ def _in_whole(plain: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             if not held.value or not batch.num_rows:
                 continue
-            trie = Trie(held.value)
+            trie, n = Trie(held.value), len(held.value)
             words = pa.array([w.decode() for w in held.value])
-            mine = np.zeros(trie.total, bool)
-            tops = np.unique(trie.at[SHARED])
-            mine[tops[np.isin(np.arange(len(tops)) % shares, batch.column(0).to_numpy())]] = True
-            for a, b, d in neighbours(trie, np.zeros(1, np.int64), 0, k, (SHARED, mine)):
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(a)), words.take(pa.array(b)), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
+            for share in batch.column(0).to_pylist():
+                for a, b, d in neighbours(trie, np.zeros(1, np.int64), 0, k, slice(n * share // shares, n * (share + 1) // shares)):
+                    yield pa.RecordBatch.from_arrays([words.take(pa.array(a)), words.take(pa.array(b)), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
 
     return spark.range(0, shares, 1, shares).mapInArrow(run, "a string, b string, d int")
 
