@@ -31,11 +31,12 @@ _COLUMNS = {
 }
 #: What makes the stored name of a table.
 _STORED = {"export_xlsx": ["name_and_surname"], "export_xlsx_partial": ["Name", "Surname"], "match_entries": ["surname"]}
-_FOLDED = "tokens array<string>, given_n int, byear int, byear2 int, bdate int, place string, father string, dyear int, dplace string, sex string"
+_FOLDED = "tokens array<string>, given_n int, byear int, byear2 int, bdate int, place string, father string, dyear int, dplace string, sex string, pletters int, fletters int, dletters int"
 
 
 def people(spark: SparkSession, sf_dir: str, tables: list[str] = TABLES) -> DataFrame:
-    """rid, r, nid, tokens, given_n, byear, byear2, bdate, place, father, dyear, dplace, sex.
+    """rid, r, nid, tokens, given_n, byear, byear2, bdate, place, father, dyear, dplace, sex, and the letters of place, father and
+    dplace as bits.
 
     One row per delivery.  ``rid`` (four times the key, and the number of the table) is the record, ``r`` a hash of its
     stored name and ``nid`` one of its folded name.  ``given_n`` of the tokens are from a column of given names, -1 where
@@ -145,6 +146,15 @@ def _born(s: str) -> tuple[int | None, int | None, int | None]:
     return year, _year(other), full
 
 
+def _letters(s: str) -> int:
+    """Bits of the letters of a folded word."""
+    out = 0
+    for c in s:
+        if "a" <= c <= "z":
+            out |= 1 << (ord(c) - 97)
+    return out
+
+
 class _Memory(dict):
     """Folded values; missing and null give ``nothing``."""
 
@@ -162,6 +172,7 @@ class _Memory(dict):
 def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, place, father, born = _Memory(_tokens, []), _Memory(_place), _Memory(_father), _Memory(_born, (None, None, None))
     died = _Memory(lambda s: _born(s)[0])
+    letters = _Memory(_letters)
     sex = _Memory(lambda s: s.strip().upper())
     for batch in batches:
         cols = {n: batch.column(i + 2).to_pylist() for i, n in enumerate(_RAW)}
@@ -182,4 +193,5 @@ def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             pa.array(tokens, pa.list_(pa.string())), pa.array(given_n, pa.int32()), pa.array(y, pa.int32()), pa.array(y2, pa.int32()), pa.array(full, pa.int32()), pa.array([place[v] for v in cols["place"]], pa.string()),
             pa.array([father[v] for v in cols["father"]], pa.string()), pa.array([died[v] for v in cols["dyear"]], pa.int32()), pa.array(where, pa.string()), pa.array([sex[v] for v in cols["sex"]], pa.string()),
         ]
+        made += [pa.array([letters[v] for v in col.to_pylist()], pa.int32()) for col in (made[5], made[6], made[8])]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["rid", "r", *[f.split()[0] for f in _FOLDED.split(", ")]])
