@@ -31,7 +31,7 @@ WHOLE_WORDS = 1_000_000
 MAP_BITS = 1 << 24
 #: Item words that have to be spanned by the alignment, and the share of them that must be met.
 MIN_SPAN = 25
-MIN_MATCHED = 0.8
+MIN_MATCHED = 0.84
 #: Seeds of one item that a passage needs before it is aligned, however many items hold them.  Of the 23 seeds of 25 words a
 #: changed, added or left out word breaks three at most, so six such words leave five.
 MIN_SEEDS = 5
@@ -41,8 +41,9 @@ REACH = MIN_SPAN + DRIFT
 #: Words without a seed that end a passage.
 PASSAGE_GAP = 40
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Score below which no alignment meets MIN_MATCHED of MIN_SPAN words, unless more than 15 words are added in between.
-LEAST_SCORE = 20
+#: Score below which no alignment meets MIN_MATCHED of MIN_SPAN words, unless more than four words are added in between: 21 words
+#: met, four not, four added.
+LEAST_SCORE = 34
 #: Cells of the row of alignments that are scored at a time.
 CELLS = 60000
 
