@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +103,11 @@ def reversed_words(c: Column) -> Column:
     return F.array_join(F.reverse(words(c)), " ")
 
 
+def strict_int(c: Column) -> Column:
+    """Integer with a leading zero allowed for, empty as 0; what is no number is an error."""
+    return F.concat(F.lit("0"), F.trim(c)).cast("int")
+
+
 def lenient_int(c: Column) -> Column:
     """Integer with a leading zero allowed for; what is no number counts as 0."""
     return F.coalesce(F.concat(F.lit("0"), F.trim(c)).try_cast("int"), F.lit(0))
@@ -128,6 +136,20 @@ def years_in(text: Column, lo: int = 1800, hi: int = 1945) -> Column:
     return F.filter(found, lambda y: y.between(lo, hi))
 
 
+@cache
+def _unmarked() -> tuple[str, str]:
+    """Lower-case letters that decompose to one plain letter and marks, and that letter (built by rule from Unicode)."""
+    out = {}
+    for cp in range(0x80, 0x2000):
+        c = chr(cp)
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.category(x).startswith("M"))
+        if len(base) == 1 and base != c and c == c.lower():
+            out[c] = base
+    return "".join(out), "".join(out.values())
+
+
 def comparison_form(c: Column) -> Column:
     """Lower case, no stars and bracketed parts, letters without marks (đ has none and stays)."""
-    return F.translate(F.regexp_replace(replace_all(F.trim(F.lower(c)), "*"), r"\[.*?\]", ""), "čćšžäöüéèàáíóúñ", "ccszaoueeaaioun")
+    src, dst = _unmarked()
+    bare = F.regexp_replace(replace_all(F.trim(F.lower(c)), "*"), r"\[.*?\]", "")
+    return strip(F.regexp_replace(F.translate(bare, src, dst), r"\p{M}", ""))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ENTRY_OPEN = '<p class="Normal"><span class="Bold">'
+SECOND_OPEN = '<div class="tekst">'
 FOOTER = '<footer class="entry-footer">'
 
 
@@ -93,35 +97,87 @@ def entry_keys(entries: DataFrame) -> DataFrame:
 
 
 def merged_lines(spans: DataFrame, max_extra: float = 1.5) -> DataFrame:
-    """Broken rows of a page put together: (file, page, first_ord, column, text).
+    """Broken rows of a page put together: (file, page, first_ord, kind, column, text).
 
     ``spans``: file, page, ord, kind, column, text, font_size, y1.  A data row continues the one before it in the same
-    column if the step down is less than the font size of the row's first span plus ``max_extra``.  Pages are folded in
+    column if the step down is less than the font size of the row's first span plus ``max_extra``.  Pages are read in
     order, each in one task; other kinds of rows stand alone.
     """
-    item = F.struct("ord", "kind", "column", "text", "font_size", "y1")
-    pages = spans.groupBy("file", "page").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    row = "struct<ord:bigint,kind:string,column:int,text:string,font_size:double,y1:double>"
-    zero = F.array().cast(f"array<{row}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (last["kind"] == "data") & (x["kind"] == "data") & (last["column"] == x["column"]) & (F.abs(x["y1"] - last["y1"]) < last["font_size"] + max_extra)
-        grown = F.struct(last["ord"].alias("ord"), last["kind"].alias("kind"), last["column"].alias("column"), F.concat_ws(" ", last["text"], x["text"]).alias("text"), last["font_size"].alias("font_size"), x["y1"].alias("y1"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows: list[list] = []
+        last = None
+        for x in pdf.sort_values("ord").itertuples(index=False):
+            joins = last is not None and last.kind == x.kind == "data" and last.column == x.column and abs(x.y1 - last.y1) < size + max_extra
+            if joins:
+                rows[-1][-1].append(x.text)
+            else:
+                rows.append([x.file, x.page, x.ord, x.kind, x.column, [x.text]])
+                size = x.font_size
+            last = x
+        return pd.DataFrame([[*r[:5], " ".join(t for t in r[5] if t is not None)] for r in rows], columns=["file", "page", "first_ord", "kind", "column", "text"])
+
+    cols = spans.select("file", "page", F.col("ord").cast("long").alias("ord"), "kind", F.col("column").cast("int").alias("column"), "text", F.col("font_size").cast("double").alias("font_size"), F.col("y1").cast("double").alias("y1"))
+    kinds = dict(cols.dtypes)
+    return cols.groupBy("file", "page").applyInPandas(run, f"file {kinds['file']}, page {kinds['page']}, first_ord bigint, kind string, column int, text string")
+
+
+# Geometry of the scanned books.
+COLUMN_BORDER, MAIN_HEADING, SUBHEADING = 298.0, 10.0, 8.0
+
+
+def classified_spans(spans: DataFrame) -> DataFrame:
+    """Spans of pages (file, page, ord, x0, y1, font_size, text) with kind (main, sub, data) and column (0 left, 1 right).
+
+    Texts are trimmed, empty ones dropped.  The spans themselves come from any reader of the books.
+    """
+    size = F.col("font_size")
+    kind = F.when(size >= MAIN_HEADING, "main").when(size >= SUBHEADING, "sub").otherwise("data")
+    return spans.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).filter("text <> ''").withColumns({"kind": kind, "column": F.when(F.col("x0") < COLUMN_BORDER, 0).otherwise(1), "font_size": F.round(size, 2)})
+
 
-    cast = F.transform("xs", lambda x: x.cast(row))
-    return pages.select("file", "page", F.explode(F.aggregate(cast, zero, step)).alias("x")).select("file", "page", F.col("x.ord").alias("first_ord"), "x.kind", "x.column", "x.text")
+def indented_lines(merged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file, ord, value): lines behind no, one or two tabs for headings, subheadings and data; (file, ord, page, column) of the data lines."""
+    order = Window.partitionBy("file").orderBy("page", "first_ord")
+    rows = merged.withColumn("ord", F.row_number().over(order).cast("long"))
+    tabs = F.when(F.col("kind") == "main", "").when(F.col("kind") == "sub", "\t").otherwise("\t\t")
+    side = F.when(F.col("column") == 0, "left").otherwise("right")
+    return rows.select("file", "ord", F.concat(tabs, "text").alias("value")), rows.filter("kind = 'data'").select("file", "ord", "page", side.alias("column"))
 
 
-def _before(text: Column, mark: str) -> Column:
-    """Text before the mark; without one, all but the last character (a slice up to -1)."""
-    return F.when(F.instr(text, mark) > 0, F.substring_index(text, mark, 1)).otherwise(F.substring(text, F.lit(1), F.greatest(F.length(text) - 1, F.lit(0))))
+def _cut(text: str, mark: str, skip: int | None = None) -> tuple[str, str]:
+    """Text before the mark and after it (or ``skip`` letters behind its start); a mark that is not there counts as standing at -1."""
+    at = text.find(mark)
+    return text[:at], text[at + (len(mark) if skip is None else skip) :]
 
 
-def _after(text: Column, mark: str) -> Column:
-    at = F.instr(text, mark)
-    return F.substring(text, at + 1, F.length(text))
+def _inside(text: str) -> tuple[str, str, str]:
+    """Before, within and behind the first brackets."""
+    before = _cut(text, "(")[0]
+    return before, text[text.find("(") + 1 : text.find(")")], text[text.find(")") + 1 :]
+
+
+_YEAR_FIRST = re.compile(r"(\d*)[. ]*(.*)", re.S)
+
+
+def record_fields(line: str) -> list[str]:
+    """Twelve fields of a record line but for place and municipality; lines off the pattern give what the cuts leave."""
+    line = line.replace(",, rođen", ", rođen").replace(",) ", ") ")
+    at = line.find(", rođen")
+    line = " ".join((line[:at].replace(",", " ") + line[at:]).split())
+    who, life = _cut(line, ", rođen")
+    surname, father, name = _inside(who)
+    born, rest = _YEAR_FIRST.match(re.sub("^[ao]", "", life).lstrip()).groups()
+    nationality, rest = _cut(rest, ",")
+    rest = rest.lstrip()
+    fate, _ = _cut(rest, "19")
+    died = rest[rest.find("19") : rest.find("19") + 4]
+    circumstances, rest = _cut(_cut(rest, "19", 5)[1].lstrip(), ",")
+    place, number, _ = _inside(rest.lstrip())
+    return [x.strip() for x in (name, surname, father, born, nationality, died, place, fate, circumstances, number)]
+
+
+_FIELDS = ["Name", "Surname", "FatherName", "BirthYear", "Nationality", "DeathYear", "DeathPlace", "Fate", "Circumstances", "IDNumber"]
 
 
 def parsed_records(lines: DataFrame) -> DataFrame:
@@ -129,23 +185,16 @@ def parsed_records(lines: DataFrame) -> DataFrame:
     depth = F.length(F.regexp_extract("value", r"^\t*", 0))
     w = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("depth", depth).withColumns({
-        "municipality": F.last(F.when(F.col("depth") == 0, F.substring("value", len("Opština ") + 1, 1 << 20)), ignorenulls=True).over(w),
-        "place": F.last(F.when(F.col("depth") == 1, F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))), ignorenulls=True).over(w),
+        "Municipality": F.last(F.when(F.col("depth") == 0, F.substring("value", len("Opština ") + 1, 1 << 20)), ignorenulls=True).over(w),
+        "Place": F.last(F.when(F.col("depth") == 1, F.regexp_replace("value", r"^\s+|\s+$", "")), ignorenulls=True).over(w),
     }).filter("depth >= 2")
-    tidy = F.regexp_replace(F.replace(F.replace("value", F.lit(",, rođen"), F.lit(", rođen")), F.lit(",) "), F.lit(") ")), r"^\s+|\s+$", "")
-    born = ", rođen"
-    steps = marked.withColumn("t", tidy).withColumn("names", F.regexp_replace(F.replace(_before(F.col("t"), born), F.lit(","), F.lit(" ")), r"\s+", " "))
-    rest = F.regexp_replace(F.substring(F.col("t"), F.instr("t", born) + len(born), F.length("t")), "^[ao]?\\s*", "")
-    steps = steps.withColumn("l2", F.regexp_replace(rest, r"\s+", " ")).withColumn("BirthYear", F.regexp_extract("l2", r"^\d*", 0))
-    steps = steps.withColumn("l3", F.regexp_replace("l2", r"^\d*[. ]*", ""))
-    steps = steps.withColumn("l4", F.ltrim(_after(F.col("l3"), ",")))
-    steps = steps.withColumn("l5", F.ltrim(F.substring(F.col("l4"), F.instr("l4", "19") + 5, F.length("l4"))))
-    steps = steps.withColumn("l6", F.ltrim(_after(F.col("l5"), ",")))
-    return steps.select(
-        "file", "ord", F.trim(F.substring_index("names", ")", -1)).alias("Name"), F.trim(_before(F.col("names"), "(")).alias("Surname"), F.trim(F.regexp_extract("names", r"\(([^)]*)\)", 1)).alias("FatherName"),
-        "BirthYear", F.col("place").alias("Place"), F.col("municipality").alias("Municipality"), F.trim(_before(F.col("l3"), ",")).alias("Nationality"), F.trim(F.substring(F.col("l4"), F.instr("l4", "19"), F.lit(4))).alias("DeathYear"),
-        F.trim(_before(F.col("l6"), "(")).alias("DeathPlace"), F.trim(_before(F.col("l4"), "19")).alias("Fate"), F.trim(_before(F.col("l5"), ",")).alias("Circumstances"), F.regexp_extract("l6", r"\(([^)]*)\)", 1).alias("IDNumber"),
-    )
+
+    @F.pandas_udf("array<string>")
+    def fields(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: record_fields(v.strip("\r\n")))
+
+    split = marked.withColumn("f", fields("value"))
+    return split.select("file", "ord", *[F.col("f")[i].alias(f) for i, f in enumerate(_FIELDS)], "Place", "Municipality")
 
 
 def with_locations(records: DataFrame, locations: DataFrame) -> DataFrame:

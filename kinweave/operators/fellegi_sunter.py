@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,47 +22,39 @@ def estimate(patterns: list[tuple[tuple[int | None, ...], int]], levels: dict[st
     """m, u by (field, level), and the share of matches; patterns are level tuples with their number of pairs.
 
     The number of patterns is bounded by the product of the levels, whatever the number of pairs.  A fixed number of
-    iterations, as the results depend on it.
+    iterations, as the results depend on it.  Every (field, level) is one column of an indicator matrix over patterns.
     """
     fields = [f for k, f in enumerate(levels) if any(p[k] is not None for p, _ in patterns)]
-    at = {f: k for k, f in enumerate(levels)}
-    m, u = {}, {}
-    for f in fields:
-        n = levels[f]
-        for v in range(n):
-            top = v == n - 1
-            m[f, v] = 0.9 if top else 0.1 / max(1, n - 1)
-            u[f, v] = 0.1 if top else 0.9 / max(1, n - 1)
-    share, total = 0.1, sum(n for _, n in patterns)
-    for _ in range(iterations if total else 0):
-        weights = []
-        for p, n in patterns:
-            seen = [(f, p[at[f]]) for f in fields if p[at[f]] is not None]
-            lm = math.log(max(share, _TINY)) + sum(math.log(max(m[x], _TINY)) for x in seen)
-            lu = math.log(max(1 - share, _TINY)) + sum(math.log(max(u[x], _TINY)) for x in seen)
-            weights.append(n / (1 + math.exp(min(700.0, lu - lm))))
-        share = sum(weights) / total
-        new_m, new_u = {}, {}
-        for f in fields:
-            n_levels = levels[f]
-            sums_m, sums_u = [0.0] * n_levels, [0.0] * n_levels
-            for (p, n), w in zip(patterns, weights, strict=True):
-                if (v := p[at[f]]) is not None:
-                    sums_m[v] += w
-                    sums_u[v] += n - w
-            for v in range(n_levels):
-                new_m[f, v] = (sums_m[v] + 1e-6) / (sum(sums_m) + n_levels * 1e-6)
-                new_u[f, v] = (sums_u[v] + 1e-6) / (sum(sums_u) + n_levels * 1e-6)
-        m, u = new_m, new_u
-    return m, u, share
-
-
-def fit(vectors: DataFrame, o: Options, iterations: int = ITERATIONS) -> DataFrame:
-    """(field, level, m, u): one small aggregation to the driver, at most a few hundred patterns."""
+    place = {f: k for k, f in enumerate(levels)}
+    columns = [(f, v) for f in fields for v in range(levels[f])]
+    n = np.array([c for _, c in patterns], float)
+    has = np.array([[p[place[f]] == v for f, v in columns] for p, _ in patterns], float).reshape(len(patterns), len(columns))
+    # columns of one field, to sum its levels
+    same = np.array([[f == g for g, _ in columns] for f, _ in columns], float).reshape(len(columns), len(columns))
+    top = np.array([v == levels[f] - 1 for f, v in columns])
+    others = np.array([max(1, levels[f] - 1) for f, _ in columns], float)
+    m, u = np.where(top, 0.9, 0.1 / others), np.where(top, 0.1, 0.9 / others)
+    share = 0.1
+    log = lambda x: np.log(np.maximum(x, _TINY))
+    for _ in range(iterations if len(n) and n.sum() else 0):
+        odds = log(share) + has @ log(m) - log(1 - share) - has @ log(u)
+        w = n / (1 + np.exp(np.minimum(700.0, -odds)))
+        share = w.sum() / n.sum()
+        m, u = ((x @ has + 1e-6) / (same @ (x @ has) + same.sum(1) * 1e-6) for x in (w, n - w))
+    return dict(zip(columns, map(float, m), strict=True)), dict(zip(columns, map(float, u), strict=True)), float(share)
+
+
+def pattern_counts(vectors: DataFrame) -> DataFrame:
+    cols = [f"lv_{f}" for f in FIELDS]
+    return vectors.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fit(patterns: DataFrame, o: Options, iterations: int = ITERATIONS) -> DataFrame:
+    """(field, level, m, u) from pattern counts: at most a few hundred rows reach the driver."""
     cols = [f"lv_{f}" for f in FIELDS]
-    rows = vectors.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).orderBy(*cols).collect()
+    rows = patterns.orderBy(*cols).collect()
     m, u, _ = estimate([(tuple(r[c] for c in cols), r["n"]) for r in rows], level_counts(o), iterations)
-    return model_frame(vectors.sparkSession, m, u)
+    return model_frame(patterns.sparkSession, m, u)
 
 
 def model_frame(spark: SparkSession, m: dict, u: dict) -> DataFrame:

@@ -171,23 +171,36 @@ def link(left: DataFrame, right: DataFrame, o: Options) -> DataFrame:
     return first.unionByName(pick(_candidates(_join(again, right, loose), loose)))
 
 
-def comparison_levels(pairs: DataFrame, o: Options) -> DataFrame:
-    """a_id, b_id, lv_name, lv_father, lv_year, lv_place; null where a field is left out of the comparison."""
-    ln, rn = F.col("l.name"), F.col("r.name")
-    lf, rf = F.col("l.k_father"), F.col("r.k_father")
-    ly, ry = F.col("l.year"), F.col("r.year")
-    lp, rp = F.col("l.spot"), F.col("r.spot")
+def compared(left: DataFrame, right: DataFrame, o: Options, name_levels: list[int] | None = None) -> DataFrame:
+    """a_id, b_id, lv_name, lv_father, lv_year, lv_place of all pairs of a block; null where a field is left out.
+
+    Texts are compared once per distinct pair of names and of fathers that meet in a block; row pairs only look their
+    levels up.  ``name_levels``: keep pairs of these name levels alone, before rows are paired.
+    """
+    left, right = _sides(left, right, o)
     graded = o.method is not None
-    name = level(similarity(METHODS[o.method].score(ln, rn), ln, rn, o.method), o.levels) if graded else (ln == rn).cast("int")
-    if o.fuzzy_father and graded:
-        father = level(similarity(METHODS[o.method].score(lf, rf), lf, rf, o.method), o.levels)
-    else:
-        father = (lf == rf).cast("int")
-    near = (ly == ry) | (F.abs(ly - ry) <= o.max_year_gap if o.max_year_gap is not None else F.lit(False))
+    score = METHODS[o.method].score if graded else None
+    side = lambda df, c, new: df.select("k_name", F.col(c).alias(new)).distinct()
+    graded_level = lambda a, b: level(similarity(score(F.col(a), F.col(b)), F.col(a), F.col(b), o.method), o.levels) if graded else (F.col(a) == F.col(b)).cast("int")
+    names = side(left, "name", "ln").join(side(right, "name", "rn"), "k_name").withColumn("lv_name", graded_level("ln", "rn"))
+    if name_levels is not None:
+        names = names.filter(F.col("lv_name").isin(name_levels))
+    cols = ["k_name", "name", "k_father", "year", "spot"]
+    l = left.select("a_id", *[F.col(c).alias(f"l_{c}") for c in cols])
+    r = right.select("b_id", *[F.col(c).alias(f"r_{c}") for c in cols])
+    met = l.join(names, (F.col("l_k_name") == F.col("k_name")) & (F.col("l_name") == F.col("ln"))).drop("l_k_name", "l_name", "ln")
+    met = met.join(r, (F.col("k_name") == F.col("r_k_name")) & (F.col("rn") == F.col("r_name")))
+    lf, rf, ly, ry, lp, rp = (F.col(c) for c in ("l_k_father", "r_k_father", "l_year", "r_year", "l_spot", "r_spot"))
     none = F.lit(None).cast("int")
-    return pairs.select(
-        F.col("l.a_id").alias("a_id"), F.col("r.b_id").alias("b_id"), name.alias("lv_name"),
-        (F.when((lf != "") & (rf != ""), father) if o.check_father else none).alias("lv_father"),
-        (F.when((ly > 0) & (ry > 0), near.cast("int")) if o.check_year else none).alias("lv_year"),
+    father = none
+    if o.check_father and o.fuzzy_father and graded:
+        fathers = side(left, "k_father", "lf").join(side(right, "k_father", "rf"), "k_name").select("lf", "rf").distinct().filter("lf <> '' and rf <> ''").withColumn("lv_father", graded_level("lf", "rf"))
+        met = met.join(fathers, (lf == F.col("lf")) & (rf == F.col("rf")), "left")
+        father = F.col("lv_father")
+    elif o.check_father:
+        father = F.when((lf != "") & (rf != ""), (lf == rf).cast("int"))
+    near = (ly == ry) | (F.abs(ly - ry) <= o.max_year_gap if o.max_year_gap is not None else F.lit(False))
+    return met.select(
+        "a_id", "b_id", "lv_name", father.alias("lv_father"), (F.when((ly > 0) & (ry > 0), near.cast("int")) if o.check_year else none).alias("lv_year"),
         (F.when(~lp.isin("", "-", "*") & (rp != ""), (lp == rp).cast("int")) if o.check_place else none).alias("lv_place"),
     )

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
-import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,18 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent a folder is chosen here: a temporary one in local mode, one beside
-    the warehouse on a cluster, since a machine-local folder cannot be read by other executors.
+    Only where that setting is absent, and only in local mode, a temporary folder is chosen here and removed at the end.
+    A cluster has to name a shared folder, since a machine-local one cannot be read by other executors.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-            named = tempfile.mkdtemp(prefix="kinweave-checkpoint-")
-        else:
-            named = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_kinweave_checkpoints")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="kinweave-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
 
 

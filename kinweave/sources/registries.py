@@ -22,13 +22,29 @@ def _quoted(fields: list[str]) -> str:
 
 
 def read_left(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of objects; missing keys are empty strings, other keys are left out."""
-    df = spark.read.schema(_quoted(LEFT_FIELDS)).json(path, multiLine=True)
-    return df.select(*[F.coalesce(F.col(f"`{f}`"), F.lit("")).alias(f) for f in LEFT_FIELDS])
+    """JSON arrays of objects, one per file; missing keys are empty strings.
+
+    Titles that are not among LEFT_FIELDS are kept in the map ``other``.
+    """
+    known = F.array(*[F.lit(f) for f in LEFT_FIELDS])
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("m"))
+    return raw.select(*[F.coalesce(F.try_element_at("m", F.lit(f)), F.lit("")).alias(f) for f in LEFT_FIELDS], F.map_filter("m", lambda k, _: ~F.array_contains(known, k)).alias("other"))
 
 
 def write_left(df: DataFrame, path: str) -> None:
-    df.write.json(path, ignoreNullFields=False)
+    """One JSON array per partition, as ``read_left`` reads them; nothing is gathered in one task."""
+    cols = [f for f in LEFT_FIELDS if f in df.columns]
+
+    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = True
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"value": (["["] if first else []) + [("" if first and k == 0 else ",") + v for k, v in enumerate(pdf["value"])]})
+                first = False
+        yield pd.DataFrame({"value": ["[]" if first else "]"]})
+
+    rows = df.select(F.to_json(F.struct(*[F.coalesce(F.col(f"`{f}`"), F.lit("")).alias(f) for f in cols])).alias("value"))
+    rows.mapInPandas(arrays, "value string").write.text(path)
 
 
 def read_right(spark: SparkSession, path: str) -> DataFrame:
@@ -101,24 +117,73 @@ def read_pages(spark: SparkSession, folder: str, pattern: str = "*.html") -> Dat
     return df.withColumn("entry_no", F.col("entry_id").try_cast("bigint"))
 
 
+def numbered_links(pages: DataFrame, pattern: str) -> DataFrame:
+    """(number): the distinct numbers that the pattern's group captures in the pages, in order."""
+    return pages.select(F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("n")).select(F.col("n").try_cast("bigint").alias("number")).filter("number is not null").distinct().orderBy("number")
+
+
+def read_person_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder of registry pages as one row each: entry_no, name, fields (title to content), in the order of the numbers."""
+    from kinweave.operators.extract import page_fields
+
+    return page_fields(read_pages(spark, folder, "*")).select("entry_no", "name", "fields").orderBy("entry_no")
+
+
+def read_lines(spark: SparkSession, path: str, fields: list[str], least: int, exact: bool = False) -> DataFrame:
+    """Tab-separated lines with at least (or exactly) ``least`` fields, the first ones named; other lines are left out.
+
+    The tolerant readers of the reports: death places need 9 fields, persons 12.
+    """
+    p = F.split(F.regexp_replace("value", r"[\r\n]+$", ""), "\t", -1)
+    fit = F.size("p") == least if exact else F.size("p") >= least
+    return spark.read.text(path).select(p.alias("p")).filter(fit).select(*[F.get("p", F.lit(i)).alias(f) for i, f in enumerate(fields)])
+
+
+def read_death_places(spark: SparkSession, path: str) -> DataFrame:
+    return read_lines(spark, path, RIGHT_FIELDS[:9], 9).select("DeathPlace")
+
+
+def read_persons(spark: SparkSession, path: str, exact: bool = False) -> DataFrame:
+    return read_lines(spark, path, RIGHT_FIELDS[:12], 12, exact)
+
+
 def links_of(pages: DataFrame, css_class: str) -> DataFrame:
     """Distinct link targets of anchors of a class."""
     return pages.select(F.explode(F.regexp_extract_all("html", F.lit(rf'<a(?=[^>]*class="{css_class}")[^>]*href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
 
 
-def match_lines(pairs: DataFrame, left: list[str], right: list[str], separator: str = "|") -> DataFrame:
-    """Two lines per pair (left, then right behind a tab) as one text value, sorted by both lines."""
-    l, r = F.concat_ws(separator, *left), F.concat(F.lit("\t"), F.concat_ws(separator, *right))
+def match_lines(pairs: DataFrame, left: list[str], right: list[str], separator: str = "|", score: str | None = None, source: str | None = None, death: tuple[list[str], list[str]] | None = None) -> DataFrame:
+    """Two lines per pair (left, then right behind a tab) as one text value, sorted by both lines.
+
+    ``death``: further left and right columns; ``source``: a column of the left record's source text; ``score``: a column
+    that ends the left line with two decimals.
+    """
+    more = death or ([], [])
+    last = [F.format_string("%.2f", F.col(score).cast("double"))] if score else []
+    l = F.concat_ws(separator, *[F.coalesce(F.col(c), F.lit("")) for c in [*left, *more[0], *([source] if source else [])]], *last)
+    r = F.concat(F.lit("\t"), F.concat_ws(separator, *[F.coalesce(F.col(c), F.lit("")) for c in [*right, *more[1]]]))
     return pairs.select(F.concat(l, F.lit("\n"), r).alias("value")).orderBy("value")
 
 
 def read_match_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Fields of left lines (six at least, a seventh may be the score) and of the right line that follows with a tab."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "value"))
-    w = Window.orderBy("ord")
-    both = lines.withColumn("next", F.lead("value").over(w)).filter(~F.col("value").startswith("\t"))
-    f = F.split("value", r"\|")
-    return both.filter(F.size(f) >= 6).select(f.alias("left_fields"), F.when(F.col("next").startswith("\t"), F.split(F.ltrim(F.regexp_replace("next", "\t", "")), r"\|")).alias("right_fields"), F.when(F.size(f) >= 7, F.element_at(f, -1).try_cast("double")).alias("score"))
+    """Fields of left lines (six at least, a seventh may be the score) and of the right line that follows with a tab.
+
+    Lines are paired within their file; fields are trimmed.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("ls"))
+    # a line and the one behind it, from the same file
+    both = lines.select(F.explode(F.arrays_zip(F.col("ls").alias("value"), F.concat(F.slice("ls", F.lit(2), F.size("ls")), F.array(F.lit(""))).alias("next"))).alias("x")).select("x.*").filter(~F.col("value").startswith("\t"))
+    fields = lambda c: F.transform(F.split(c, r"\|"), F.trim)
+    f = fields("value")
+    return both.filter(F.size(f) >= 6).select(f.alias("left_fields"), F.when(F.col("next").startswith("\t"), fields(F.ltrim(F.regexp_replace("next", "\t", "")))).alias("right_fields"), F.when(F.size(f) >= 7, F.element_at(f, -1).try_cast("double")).alias("score"))
+
+
+def match_count(spark: SparkSession, path: str) -> int | None:
+    """Pairs in a listing of two lines each; None if there is no such file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.text(path).count() // 2
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
@@ -134,10 +199,12 @@ def read_review(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_review(pairs: DataFrame, fields: list[str], path: str) -> None:
-    """Highest score first, two decimals; nothing is written for no pairs."""
+    """A header line, then the highest score first, two decimals; nothing is written for no pairs."""
     if not pairs.isEmpty():
         s2 = F.round("score", 2)
-        pairs.orderBy(F.desc(s2), *fields).select(F.concat_ws("\t", F.format_string("%.2f", "score"), *fields)).write.text(path)
+        lines = pairs.select(F.lit(1).alias("part"), s2.alias("s2"), F.concat_ws("\t", F.format_string("%.2f", "score"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]).alias("value"))
+        head = pairs.sparkSession.createDataFrame([(0, None, "\t".join(["score", *fields]))], lines.schema)
+        head.unionAll(lines).orderBy("part", F.desc("s2"), "value").select("value").write.text(path)
 
 
 def read_estimates(spark: SparkSession, path: str) -> DataFrame:
