@@ -31,19 +31,19 @@ WHOLE_WORDS = 1_000_000
 MAP_BITS = 1 << 24
 #: Item words that have to be spanned by the alignment, and the share of them that must be met.
 MIN_SPAN = 25
-MIN_MATCHED = 0.84
+MIN_MATCHED = 0.9
 #: Seeds of one item that a passage needs before it is aligned, however many items hold them.  Of the 23 seeds of 25 words a
-#: changed, added or left out word breaks three at most, so six such words leave five.
-MIN_SEEDS = 5
+#: changed, added or left out word breaks three at most, so five such words leave eight.
+MIN_SEEDS = 8
 #: Words added or left out that seeds of a passage may be apart in the item and in the text, and words of the text they lie in.
-DRIFT = 6
+DRIFT = 5
 REACH = MIN_SPAN + DRIFT
 #: Words without a seed that end a passage.
 PASSAGE_GAP = 40
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Score below which no alignment meets MIN_MATCHED of MIN_SPAN words, unless more than four words are added in between: 21 words
-#: met, four not, four added.
-LEAST_SCORE = 34
+#: Score below which no alignment meets MIN_MATCHED of MIN_SPAN words, unless more than five words are added in between: 23
+#: words met, two not, five added.
+LEAST_SCORE = 39
 #: Cells of the row of alignments that are scored at a time.
 CELLS = 60000
 
@@ -221,13 +221,20 @@ def dense(cls: np.ndarray, text_at: np.ndarray, item_at: np.ndarray) -> np.ndarr
 
     Seeds are counted in overlapping steps of place and shift, so every such group lies in one of them as a whole.
     """
-    shift = text_at - item_at
     keep = np.zeros(len(cls), bool)
+    if not len(cls):
+        return keep
+    shift = text_at - item_at
+    shift, classes = shift - shift.min(), int(cls.max()) + 1
     for ds in (0, DRIFT):
         for dp in (0, REACH):
-            key = np.stack([cls, (shift + ds) // (2 * DRIFT), (text_at + dp) // (2 * REACH)])
-            _, of, n = np.unique(key, axis=1, return_inverse=True, return_counts=True) if len(cls) else (None, np.zeros(0, int), np.zeros(0, int))
-            keep |= n[of.ravel()] >= MIN_SEEDS
+            place = (text_at + dp) // (2 * REACH)
+            key = (place * ((int(shift.max()) + ds) // (2 * DRIFT) + 1) + (shift + ds) // (2 * DRIFT)) * classes + cls
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.diff(np.append(first, len(key)))
+            keep[order[np.repeat(n >= MIN_SEEDS, n)]] = True
     return keep
 
 

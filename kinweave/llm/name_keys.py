@@ -107,8 +107,8 @@ def begins(cut: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return off <= (has.sum(1) > 3)
 
 
-def _pairs(cols: dict[str, np.ndarray], sides: Callable, heavy: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(x, y, heavy) of the rows of whole keys."""
+def _pairs(cols: dict[str, np.ndarray], sides: Callable, heavy: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(x, y, heavy, y_years) of the rows of whole keys."""
     order = np.lexsort((cols["kind"], cols["key"]))
     key, kind, stem, nid, n, tabs, years = (cols[c][order] for c in _NAMES)
     stem, years = stem.astype(np.uint64), years.astype(np.uint64)
@@ -133,25 +133,25 @@ def _pairs(cols: dict[str, np.ndarray], sides: Callable, heavy: int) -> Iterator
         if cut.any():
             ok = begins(stem[r], stem[s]) | ((kind[s] == CUT) & begins(stem[s], stem[r])) | ~cut
             r, s = r[ok], s[ok]
-        yield np.minimum(nid[r], nid[s]), np.maximum(nid[r], nid[s]), n[r].astype(np.int64) * n[s] > heavy
+        yield np.minimum(nid[r], nid[s]), np.maximum(nid[r], nid[s]), n[r].astype(np.int64) * n[s] > heavy, np.where(nid[r] < nid[s], wide[s], wide[r]).astype(np.int64)
         lo = hi
 
 
-PAIRS = f"x bigint, y bigint, heavy boolean, {KEYS}"
+PAIRS = f"x bigint, y bigint, heavy boolean, y_years bigint, {KEYS}"
 
 
 def pairs_of(keys: DataFrame, sides: Callable, heavy: int, big: int = BIG) -> DataFrame:
-    """Rows of PAIRS: x, y, heavy of the names that share a key, or, of keys with more than ``big`` rows, the rows."""
+    """Rows of PAIRS: x, y, heavy and the years that may go with y of the names that share a key, or, of keys with more than ``big`` rows, the rows."""
 
     def handed(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
-        none = [pa.nulls(len(cols["key"]), t) for t in (pa.int64(), pa.int64(), pa.bool_())]
-        return pa.RecordBatch.from_arrays([*none, *(pa.array(cols[c]) for c in _NAMES)], names=["x", "y", "heavy", *_NAMES])
+        none = [pa.nulls(len(cols["key"]), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*none, *(pa.array(cols[c]) for c in _NAMES)], names=["x", "y", "heavy", "y_years", *_NAMES])
 
     def paired(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for x, y, h in _pairs(cols, sides, heavy):
+        for x, y, h, years in _pairs(cols, sides, heavy):
             if len(x):
                 none = [pa.nulls(len(x), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(h), *none], names=["x", "y", "heavy", *_NAMES])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(h), pa.array(years), *none], names=["x", "y", "heavy", "y_years", *_NAMES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {c: np.zeros(0, np.int32 if c in ("kind", "n", "tabs") else np.int64) for c in _NAMES}
@@ -182,7 +182,7 @@ def pairs_of(keys: DataFrame, sides: Callable, heavy: int, big: int = BIG) -> Da
 
 
 def joined_pairs(rows: DataFrame, sides: Callable, heavy: int) -> DataFrame:
-    """x, y, heavy of the rows that were handed on, by a join that spills and is split where it is skewed."""
+    """x, y, heavy, y_years of the rows that were handed on, by a join that spills and is split where it is skewed."""
     other = rows.select("key", *[F.col(c).alias(f"{c}2") for c in _NAMES[1:]])
     met = rows.join(other, "key").filter(((F.col("kind") == TWO) & (F.col("kind2") == TWO) & (F.col("nid") < F.col("nid2"))) | ((F.col("kind") == CUT) & (F.col("kind2") != TWO) & (F.col("nid") != F.col("nid2"))))
 
@@ -195,6 +195,7 @@ def joined_pairs(rows: DataFrame, sides: Callable, heavy: int) -> DataFrame:
             s, t = c["stem"].astype(np.uint64), c["stem2"].astype(np.uint64)
             fit &= ~cut | begins(s, t) | ((c["kind2"] == CUT) & begins(t, s))
             n = [c["nid"][fit], c["nid2"][fit]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*n)), pa.array(np.maximum(*n)), pa.array(c["n"][fit].astype(np.int64) * c["n2"][fit] > heavy)], names=["x", "y", "heavy"])
+            late = np.where(n[0] < n[1], (z | (z << np.uint64(1)) | (z >> np.uint64(1)))[fit], (y | (y << np.uint64(1)) | (y >> np.uint64(1)))[fit])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*n)), pa.array(np.maximum(*n)), pa.array(c["n"][fit].astype(np.int64) * c["n2"][fit] > heavy), pa.array(late.astype(np.int64))], names=["x", "y", "heavy", "y_years"])
 
-    return met.mapInArrow(run, "x bigint, y bigint, heavy boolean")
+    return met.mapInArrow(run, "x bigint, y bigint, heavy boolean, y_years bigint")
