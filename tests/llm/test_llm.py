@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.llm import align, bins, components, personal, places, redact, set_join, soft_logic, spellings, text_forms, trie_join
+from kinweave.llm import align, bins, components, personal, places, redact, set_join, soft_logic, text_forms, trie_join
 from kinweave.llm.people import _tokens
 from kinweave.llm.spell import plain, sound
 
@@ -64,7 +64,7 @@ def test_trie_join_against_brute_force(spark):
     rng = random.Random(2)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(4, 8))) for _ in range(160)})
     df = spark.createDataFrame([(w, 1) for w in words * 2] + [(None, 1), ("", 2)], "w string, b int")
-    got = {(r.a, r.b): r.d for r in trie_join.trie_join(df, "w").collect()}
+    got = {(r.a, r.b): r.d for r in trie_join.trie_join(df, "w", whole=0).collect()}
     usable = [w for w in words if len(w) >= trie_join.MIN_LENGTH]
     brute = {(a, b): _lev(a, b) for a in usable for b in usable if a != b and _lev(a, b) <= 2}
     assert set(got) <= set(brute) and all(got[p] >= brute[p] for p in got)
@@ -74,12 +74,6 @@ def test_trie_join_against_brute_force(spark):
     assert trie_join.trie_join(df.limit(0), "w").count() == 0
 
 
-def test_names_agree(spark):
-    pairs = [("Marko Ilić", "Ilić Marko", True), ("M. Ilić", "Marko Ilić", True), ("Marko Ilić", "Ana Ilić", False), ("Marko Il ić", "Marko Ilić", True), ("", "Marko", False)]
-    df = spark.createDataFrame([(_tokens(a), _tokens(b), w) for a, b, w in pairs], "a array<string>, b array<string>, w boolean")
-    assert all(bool(r.g) == r.w for r in df.select(spellings.names_agree(F.col("a"), F.col("b")).alias("g"), "w").collect())
-
-
 def test_folding_is_the_same_in_both_places(spark):
     texts = ["Ћирило Марковић", "Ｄragica Čavić", "Turarich", "tschWy", "Ðuro", "ЈOVO Jovа"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
@@ -126,15 +120,15 @@ def test_leaks(spark):
     rng = random.Random(4)
     words = [f"w{rng.randrange(400)}" for _ in range(120)]
     passage = words[20:60]
-    edited = [w if k % 9 else "other" for k, w in enumerate(passage)]
+    edited = [w if k % 13 else "other" for k, w in enumerate(passage)]
     docs = [(1, "intro \\textbf{" + " ".join(passage[:20]) + "}\n% " + " ".join(passage[20:]) + " end"), (2, " ".join(edited).upper()), (3, " ".join(words[:12])), (4, None), (5, ""), (6, "z " * 2_000)]
     d = spark.createDataFrame([(*x, "k") for x in docs], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(9, " ".join(words)), (10, None)], "item_id long, item_text string")
     got = {r.doc_id for r in align.leaks(d, items).filter(f"span >= {align.MIN_SPAN} and met >= {align.MIN_MATCHED}").collect()}
     assert got == {1, 2}
-    # the same in blocks of a few words
+    # the same by a join of seeds
     more = items.unionAll(spark.createDataFrame([(11, "q1 q2 q3 " * 30)], items.schema))
-    assert {r.doc_id for r in align.leaks(d, more, block_words=10).filter("span >= 25 and met >= 0.8").collect()} == {1, 2}
+    assert {r.doc_id for r in align.leaks(d, more, whole_words=0).filter(f"span >= {align.MIN_SPAN} and met >= {align.MIN_MATCHED}").collect()} == {1, 2}
     assert align.leaks(d, items.limit(0)).count() == 0
 
 
@@ -147,19 +141,32 @@ def test_packing(spark):
     np.add.at(used, where, sizes)
     assert (used <= cap + 1e-6).all() and (where >= 0).all()
     assert used[:, 0].sum() / (len(used) * 2048) > 0.85
-    rows = [(i, 0, 1, int(t), int(t)) for i, t in enumerate(sizes[:, 0])] + [(999, 0, 1, 0, 0), (5, 0, 1, 7, 7)]
-    df = spark.createDataFrame(rows, "doc_id long, part int, n_parts int, tokens int, loss_tokens int")
+    rows = [(i, 0, 1, 0, int(t), int(t)) for i, t in enumerate(sizes[:, 0])] + [(999, 0, 1, 0, 0, 0), (5, 0, 1, 0, 7, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, part int, n_parts int, first_token int, tokens int, loss_tokens int")
     out = bins.packed(df, block=64)
     assert out.count() == len(rows) and out.groupBy("container").agg(F.sum("tokens").alias("t")).agg(F.max("t")).first()[0] <= 2048
     assert bins.packed(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes,fit", [([1000, 1, 0], 2), ([10, 1, 0], 24), ([700, 1, 700], 2)])
+def test_each_limit_binds(sizes, fit):
+    """Equal items: tokens, segments and loss-bearing tokens each decide how many go into a container."""
+    where = bins.pack(np.array([sizes] * 48, float), np.array(bins.CAPACITY, float))
+    assert np.bincount(where).max() == fit and np.bincount(where).sum() == 48
+
+
+def test_parts_respect_all_limits():
+    assert bins.parts_of(0, 0, (10, 9, 6)) == [(0, 0)] and bins.parts_of(8, 3, (10, 9, 6)) == [(0, 8)]
+    assert bins.parts_of(20, 3, (10, 9, 6)) == [(0, 9), (9, 15), (15, 20)]
+
+
 def test_sized_texts(spark):
     docs = spark.createDataFrame([(1, "a short text", "x"), (2, "word " * 5000, "x"), (3, None, None), (4, "", "x"), (5, "\\documentclass{a}\\begin{document}body", "x")], "doc_id long, text string, tokens string")
     got = {}
     for r in bins.sized_texts(docs).collect():
         got.setdefault(r.doc_id, []).append(r)
-    assert len(got[2]) == 3 and sum(r.tokens for r in got[2]) >= 5000 and max(r.tokens for r in got[2]) == 2048
+    assert len(got[2]) == 3 and sum(r.tokens for r in got[2]) >= 5000 and max(r.tokens for r in got[2]) == bins.CAPACITY[2]
+    assert [r.first_token for r in got[2]] == [0, bins.CAPACITY[2], 2 * bins.CAPACITY[2]]
     assert got[3][0].tokens == got[4][0].tokens == 0 and 0 < got[5][0].loss_tokens < got[5][0].tokens
 
 

@@ -2,7 +2,10 @@
 
 import random
 
-from kinweave.llm import align, soft_logic, spellings, trie_join
+from pyspark.sql import functions as F
+
+from kinweave.llm import align, name_keys, soft_logic, spellings, trie_join
+from kinweave.llm.people import TABLES, _letters
 
 
 def _lev(a, b):
@@ -29,8 +32,9 @@ def test_trie_join_meets_all_pairs(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     brute = {(a, b): _lev(a, b) for a in set(words) for b in set(words) if a != b and abs(len(a) - len(b)) <= 2}
     for k in (1, 2):
-        got = {(r.a, r.b): r.d for r in trie_join.trie_join(df, "w", k).collect()}
-        assert got == {p: d for p, d in brute.items() if d <= k}
+        for whole in (trie_join.WHOLE, 0):
+            got = {(r.a, r.b): r.d for r in trie_join.trie_join(df, "w", k, whole).collect()}
+            assert got == {p: d for p, d in brute.items() if d <= k}
 
 
 def test_near_words_are_those_same_word_accepts(spark):
@@ -43,24 +47,61 @@ def test_near_words_are_those_same_word_accepts(spark):
     assert got == want and ("turanstein", "tutanstei") in got
 
 
-PERSON = "rid long, tab string, key long, r long, tokens array<string>, byear int, byear2 int, bdate string, place string, father string, dyear int, dplace string, sex string"
+PERSON = "rid long, r int, tokens array<string>, given_n int, byear int, byear2 int, bdate int, place string, father string, dyear int, dplace string, sex string, pletters int, fletters int, dletters int"
+
+
+def _met(spark, rows, tab, forms=()):
+    """Pairs found, by key, of (key, tokens, year, date, place, father)."""
+    code = TABLES.index(tab)
+    bits = lambda v: None if v is None else _letters(v)
+    data = [(k * 4 + code, hash((k, tab)) % 1_000_003, t, 1, y, None, d, p, f, None, None, None, bits(p), bits(f), None) for k, t, y, d, p, f in rows]
+    records = spark.createDataFrame(data, PERSON).withColumn("nid", F.xxhash64("tokens"))
+    given = spark.createDataFrame(list(forms), "s string, f string, weight long")
+    return {(r.key_a, r.key_b) for r in spellings.variants(records, given).collect()}
+
+
+def test_certificates_meet_whatever_their_dates_hold(spark):
+    name = lambda w: ["veronika", w]
+    rows = [
+        (1, name("dremitkak"), 1891, 18910102, "abcdef", None), (2, name("dremitkak"), 1891, 18910304, "bxyzuv", None), (3, name("dremytkak"), 1891, None, None, None),
+        (4, name("dremitkak"), 1892, None, None, None), (5, name("dremitkak"), None, None, "abcdef", None), (6, name("dremitkak"), None, None, None, None),
+    ]
+    # a year alone links those with a short date, a place those without one; two full dates that differ are no pair
+    assert _met(spark, rows, "match_entries") == {(1, 3), (2, 3), (1, 5)}
+
+
+def test_order_abbreviations_spaces_and_familiar_forms(spark):
+    rest = (1900, None, "stulgrad", "filip")
+    names = [["marko", "ilkovic"], ["ilkovic", "marko"], ["m.", "ilkovic"], ["marko", "ilk."], ["marko", "il", "kovic"], ["mare", "ilkovic"], ["ana", "ilkovic"], ["marko", "torovic"], ["n."], []]
+    got = _met(spark, [(k, t, *rest) for k, t in enumerate(names)], "export_xlsx", [("mare", "marko", 5)])
+    assert {(0, k) for k in range(1, 6)} <= got and not any(k in p for p in got for k in (6, 7, 8, 9))
+
+
+def test_forms_are_learned(spark):
+    rows = [(k, ["filip" if k % 2 else "filko", f"surname{'abcd'[k // 2]}x"], 1900, None, "stulgrad", "ivan") for k in range(8)] + [(20, ["ana", "surnameax"], 1900, None, "stulgrad", "ivan")]
+    data = [(k * 4 + 1, 0, t, 1, y, None, None, p, f, None, None, None, 0, 0, 0) for k, t, y, _, p, f in rows]
+    forms = spellings.learned_forms(spark.createDataFrame(data, PERSON)).collect()
+    assert [(r.s, r.f, r.weight) for r in forms] == [("filko", "filip", 4)]
 
 
-def _met(spark, rows, tab):
-    """Candidate pairs, by key, of (key, tokens, year, date, place, father)."""
-    code = {"export_xlsx": 0, "export_xlsx_partial": 1, "match_entries": 2}[tab]
-    data = [(k * 4 + code, tab, k, hash((k, tab)), t, y, None, d, p, f, None, None, None) for k, t, y, d, p, f in rows]
-    records = spark.createDataFrame(data, PERSON)
-    givens = spark.createDataFrame([], "w string")
-    hub_of = spellings.hubs(spellings.word_counts(records), givens)
-    return {(r.rid_a // 4, r.rid_b // 4) for r in spellings.candidate_pairs(records, hub_of).collect()}
+def test_records_of_popular_names_meet_as_others_do(spark, monkeypatch):
+    """The further keys of heavy names lose no pair that is found without them."""
+    rng = random.Random(11)
+    places, fathers = ["stulgrad", "stulgrat", "vrevgrad", "zamugistar", None], ["ivan", "iva.", "petar", None]
+    rows = [(k, ["marko", rng.choice(["ilkovic", "ilkovac"])], rng.choice([None, 1900, 1901, 1903]), None, rng.choice(places), rng.choice(fathers)) for k in range(60)]
+    dates = [(k, ["marko", rng.choice(["ilkovic", "ilkovac"])], *rng.choice([(1900, 19000101), (1900, 19000202), (1900, None), (None, None)]), rng.choice(places), None) for k in range(60)]
+    for tab, data in (("export_xlsx", rows), ("match_entries", dates)):
+        light = _met(spark, data, tab)
+        with monkeypatch.context() as m:
+            m.setattr(spellings, "HEAVY", 0)
+            assert _met(spark, data, tab) == light and len(light) > 20
 
 
-def test_certificates_with_only_a_year_meet_all_dates(spark):
-    name = lambda w: [w, "veronika"]
-    rows = [(1, name("dremitkak"), 1891, "1891-01-02", "a", None), (2, name("dremitkak"), 1891, "1891-03-04", "b", None), (3, name("dremitkak"), 1891, None, None, None), (4, name("dremitkak"), 1892, None, None, None)]
-    # the year alone links those with a short date; two different full dates are no pair
-    assert _met(spark, rows, "match_entries") == {(1, 3), (2, 3)}
+def test_large_keys_are_joined(spark, monkeypatch):
+    rows = [(k, ["marko", w], 1900, None, "stulgrad", None) for k, w in enumerate(["ilkovic", "ilkovac", "ilkovec", "ilkov.", "ilkovcic"])]
+    want = _met(spark, rows, "export_xlsx")
+    monkeypatch.setattr(name_keys.pairs_of, "__defaults__", (0,))
+    assert _met(spark, rows, "export_xlsx") == want and want
 
 
 def _leaks(spark, docs, items, **kw):
@@ -76,7 +117,7 @@ def test_wording_shared_by_many_items_leaks_from_all(spark):
     docs = ["before " + " ".join(shared) + " after", "nothing of it"]
     want = [(i, 0) for i in range(30)]
     assert _leaks(spark, docs, items) == want
-    assert _leaks(spark, docs, items, block_words=100) == want
+    assert _leaks(spark, docs, items, whole_words=0) == want
     # equal items are one class, and each is reported
     assert _leaks(spark, docs, [items[0]] * 100) == [(i, 0) for i in range(100)]
 
@@ -140,7 +181,7 @@ def test_soft_logic_is_converged(spark):
 
 def test_frequent_spellings_meet(spark):
     # 17 and 61 records hold the two spellings
-    rows = [(k, [w, "matilda"], 1930, "1930-04-26", "p", None) for k, w in enumerate(["lendabnovic"] * 17 + ["lendanovic"] * 61)]
+    rows = [(k, [w, "matilda"], 1930, 19300426, "p", None) for k, w in enumerate(["lendabnovic"] * 17 + ["lendanovic"] * 61)]
     assert _met(spark, rows, "match_entries") >= {(a, b) for a in range(17) for b in range(17, 78)}
 
 
