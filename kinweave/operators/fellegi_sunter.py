@@ -44,11 +44,6 @@ def estimate(patterns: list[tuple[tuple[int | None, ...], int]], levels: dict[st
     return dict(zip(columns, map(float, m), strict=True)), dict(zip(columns, map(float, u), strict=True)), float(share)
 
 
-def pattern_counts(vectors: DataFrame) -> DataFrame:
-    cols = [f"lv_{f}" for f in FIELDS]
-    return vectors.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-
-
 def fit(patterns: DataFrame, o: Options, iterations: int = ITERATIONS) -> DataFrame:
     """(field, level, m, u) from pattern counts: at most a few hundred rows reach the driver."""
     cols = [f"lv_{f}" for f in FIELDS]

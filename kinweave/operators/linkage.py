@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import names as N
 from kinweave.functions.compare import METHODS, level, passes, similarity
 from kinweave.functions.wordlists import LEFT_OUT_PLACES
+from kinweave.plans.runtime import cut
 
 
 @dataclass(frozen=True)
@@ -48,10 +49,16 @@ def without_left_out_places(right: DataFrame) -> DataFrame:
     return right.filter(~hit)
 
 
+def with_prepared_names(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the common spellings of names and fathers, for any number of runs."""
+    right = right.withColumn("full_name", F.concat_ws(" ", "given", "surname"))
+    return N.prepared(left, "full_name", "father"), N.prepared(right, "full_name", "father")
+
+
 def _sides(left: DataFrame, right: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     right = right.withColumn("full_name", F.concat_ws(" ", "given", "surname"))
-    if o.normalise:
-        left, right = N.prepared(left, "full_name", "father"), N.prepared(right, "full_name", "father")
+    if o.normalise and "full_name_std" not in left.columns:
+        left, right = with_prepared_names(left, right)
     std = "_std" if o.normalise else ""
     left = left.withColumns({"n_raw": F.col(f"full_name{std}"), "f_raw": F.col(f"father{std}")})
     right = right.withColumns({"n_raw": F.col(f"full_name{std}"), "f_raw": F.col(f"father{std}")})
@@ -174,10 +181,29 @@ def link(left: DataFrame, right: DataFrame, o: Options) -> DataFrame:
 def compared(left: DataFrame, right: DataFrame, o: Options, name_levels: list[int] | None = None) -> DataFrame:
     """a_id, b_id, lv_name, lv_father, lv_year, lv_place of all pairs of a block; null where a field is left out.
 
-    Texts are compared once per distinct pair of names and of fathers that meet in a block; row pairs only look their
-    levels up.  ``name_levels``: keep pairs of these name levels alone, before rows are paired.
+    ``name_levels``: keep pairs of these name levels alone, before rows are paired.
     """
     left, right = _sides(left, right, o)
+    return _levels(left.withColumnRenamed("a_id", "l_n"), right.withColumnRenamed("b_id", "r_n"), o, name_levels).withColumnsRenamed({"l_n": "a_id", "r_n": "b_id"})
+
+
+def pattern_counts(left: DataFrame, right: DataFrame, o: Options) -> DataFrame:
+    """lv_name, lv_father, lv_year, lv_place, n: how many pairs of a block have each pattern of levels.
+
+    Rows that are equal in all compared fields are paired once, with their numbers multiplied.
+    """
+    cols = ["k_name", "name", "k_father", "year", "spot"]
+    left, right = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias(n)) for df, n in zip(_sides(left, right, o), ("l_n", "r_n"), strict=True))
+    levels = _levels(left, right, o)
+    return levels.groupBy("lv_name", "lv_father", "lv_year", "lv_place").agg(F.sum(F.col("l_n") * F.col("r_n")).alias("n"))
+
+
+def _levels(left: DataFrame, right: DataFrame, o: Options, name_levels: list[int] | None = None) -> DataFrame:
+    """l_n, r_n and the levels of all pairs of a block.
+
+    Texts are compared once per distinct pair of names and of fathers that meet in a block; row pairs carry hashes only
+    and look their levels up.
+    """
     graded = o.method is not None
     score = METHODS[o.method].score if graded else None
     side = lambda df, c, new: df.select("k_name", F.col(c).alias(new)).distinct()
@@ -185,22 +211,26 @@ def compared(left: DataFrame, right: DataFrame, o: Options, name_levels: list[in
     names = side(left, "name", "ln").join(side(right, "name", "rn"), "k_name").withColumn("lv_name", graded_level("ln", "rn"))
     if name_levels is not None:
         names = names.filter(F.col("lv_name").isin(name_levels))
-    cols = ["k_name", "name", "k_father", "year", "spot"]
-    l = left.select("a_id", *[F.col(c).alias(f"l_{c}") for c in cols])
-    r = right.select("b_id", *[F.col(c).alias(f"r_{c}") for c in cols])
-    met = l.join(names, (F.col("l_k_name") == F.col("k_name")) & (F.col("l_name") == F.col("ln"))).drop("l_k_name", "l_name", "ln")
-    met = met.join(r, (F.col("k_name") == F.col("r_k_name")) & (F.col("rn") == F.col("r_name")))
-    lf, rf, ly, ry, lp, rp = (F.col(c) for c in ("l_k_father", "r_k_father", "l_year", "r_year", "l_spot", "r_spot"))
+    names = cut(names.select(F.xxhash64("k_name", "ln").alias("lh"), F.xxhash64("k_name", "rn").alias("rh"), "lv_name"))
+
+    def slim(df: DataFrame, n: str) -> DataFrame:
+        known = ~F.col("spot").isin("", "-", "*") if n == "l" else F.col("spot") != ""
+        father = F.when(F.col("k_father") != "", F.xxhash64("k_father"))
+        return df.select(f"{n}_n", F.xxhash64("k_name", "name").alias(f"{n}h"), father.alias(f"{n}f"), F.when(F.col("year") > 0, F.col("year")).alias(f"{n}y"), F.when(known, F.xxhash64("spot")).alias(f"{n}p"))
+
+    met = slim(left, "l").join(names, "lh").drop("lh").join(slim(right, "r"), "rh").drop("rh")
     none = F.lit(None).cast("int")
+    same = lambda c: (F.col(f"l{c}") == F.col(f"r{c}")).cast("int")
     father = none
     if o.check_father and o.fuzzy_father and graded:
-        fathers = side(left, "k_father", "lf").join(side(right, "k_father", "rf"), "k_name").select("lf", "rf").distinct().filter("lf <> '' and rf <> ''").withColumn("lv_father", graded_level("lf", "rf"))
-        met = met.join(fathers, (lf == F.col("lf")) & (rf == F.col("rf")), "left")
+        # one number for two fathers
+        both = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b))
+        fathers = side(left, "k_father", "lt").join(side(right, "k_father", "rt"), "k_name").select("lt", "rt").distinct().filter("lt <> '' and rt <> ''")
+        # written first, so that the planner knows its size and broadcasts it only if it is small
+        fathers = cut(fathers.select(both(F.xxhash64("lt"), F.xxhash64("rt")).alias("fh"), graded_level("lt", "rt").alias("lv_father")))
+        met = met.withColumn("fh0", both(F.col("lf"), F.col("rf"))).join(fathers, F.col("fh0") == F.col("fh"), "left")
         father = F.col("lv_father")
     elif o.check_father:
-        father = F.when((lf != "") & (rf != ""), (lf == rf).cast("int"))
-    near = (ly == ry) | (F.abs(ly - ry) <= o.max_year_gap if o.max_year_gap is not None else F.lit(False))
-    return met.select(
-        "a_id", "b_id", "lv_name", father.alias("lv_father"), (F.when((ly > 0) & (ry > 0), near.cast("int")) if o.check_year else none).alias("lv_year"),
-        (F.when(~lp.isin("", "-", "*") & (rp != ""), (lp == rp).cast("int")) if o.check_place else none).alias("lv_place"),
-    )
+        father = same("f")
+    near = same("y") if o.max_year_gap is None else (F.abs(F.col("ly") - F.col("ry")) <= o.max_year_gap).cast("int")
+    return met.select("l_n", "r_n", "lv_name", father.alias("lv_father"), (near if o.check_year else none).alias("lv_year"), (same("p") if o.check_place else none).alias("lv_place"))

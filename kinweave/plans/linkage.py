@@ -88,7 +88,7 @@ FS_OPTIONS = L.Options(normalise=True, method="nld", threshold=0.0, block_letter
 
 def _fs_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern counts of all pairs that share the first letters of their names, written once."""
-    return cut(FS.pattern_counts(L.compared(left_registry(spark, sf_dir), right_registry(spark, sf_dir), FS_OPTIONS)))
+    return cut(L.pattern_counts(left_registry(spark, sf_dir), right_registry(spark, sf_dir), FS_OPTIONS))
 
 
 def fs_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
