@@ -108,7 +108,7 @@ def begins(cut: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 
 def _pairs(cols: dict[str, np.ndarray], sides: Callable, heavy: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(x, y, heavy, y_years) of the rows of whole keys."""
+    """(x, y, heavy, y_years, sides) of the rows of whole keys."""
     order = np.lexsort((cols["kind"], cols["key"]))
     key, kind, stem, nid, n, tabs, years = (cols[c][order] for c in _NAMES)
     stem, years = stem.astype(np.uint64), years.astype(np.uint64)
@@ -127,31 +127,32 @@ def _pairs(cols: dict[str, np.ndarray], sides: Callable, heavy: int) -> Iterator
         of, k = _spread(count[lo:hi])
         r = lo + of
         s = r + 1 + k
-        fit = (nid[r] != nid[s]) & (years[r] & wide[s] != 0) & sides(tabs[r], tabs[s])
-        r, s = r[fit], s[fit]
+        both = sides(tabs[r], tabs[s])
+        fit = (nid[r] != nid[s]) & (years[r] & wide[s] != 0) & (both != 0)
+        r, s, both = r[fit], s[fit], both[fit]
         cut = kind[r] == CUT
         if cut.any():
             ok = begins(stem[r], stem[s]) | ((kind[s] == CUT) & begins(stem[s], stem[r])) | ~cut
-            r, s = r[ok], s[ok]
-        yield np.minimum(nid[r], nid[s]), np.maximum(nid[r], nid[s]), n[r].astype(np.int64) * n[s] > heavy, np.where(nid[r] < nid[s], wide[s], wide[r]).astype(np.int64)
+            r, s, both = r[ok], s[ok], both[ok]
+        yield np.minimum(nid[r], nid[s]), np.maximum(nid[r], nid[s]), n[r].astype(np.int64) * n[s] > heavy, np.where(nid[r] < nid[s], wide[s], wide[r]).astype(np.int64), both.astype(np.int32)
         lo = hi
 
 
-PAIRS = f"x bigint, y bigint, heavy boolean, y_years bigint, {KEYS}"
+PAIRS = f"x bigint, y bigint, heavy boolean, y_years bigint, sides int, {KEYS}"
 
 
 def pairs_of(keys: DataFrame, sides: Callable, heavy: int, big: int = BIG) -> DataFrame:
-    """Rows of PAIRS: x, y, heavy and the years that may go with y of the names that share a key, or, of keys with more than ``big`` rows, the rows."""
+    """Rows of PAIRS: x, y, heavy, the years that may go with y and the tables to look in of the names that share a key, or, of keys with more than ``big`` rows, the rows."""
 
     def handed(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
-        none = [pa.nulls(len(cols["key"]), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64())]
-        return pa.RecordBatch.from_arrays([*none, *(pa.array(cols[c]) for c in _NAMES)], names=["x", "y", "heavy", "y_years", *_NAMES])
+        none = [pa.nulls(len(cols["key"]), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32())]
+        return pa.RecordBatch.from_arrays([*none, *(pa.array(cols[c]) for c in _NAMES)], names=["x", "y", "heavy", "y_years", "sides", *_NAMES])
 
     def paired(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for x, y, h, years in _pairs(cols, sides, heavy):
+        for x, y, h, years, both in _pairs(cols, sides, heavy):
             if len(x):
                 none = [pa.nulls(len(x), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(h), pa.array(years), *none], names=["x", "y", "heavy", "y_years", *_NAMES])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(h), pa.array(years), pa.array(both), *none], names=["x", "y", "heavy", "y_years", "sides", *_NAMES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {c: np.zeros(0, np.int32 if c in ("kind", "n", "tabs") else np.int64) for c in _NAMES}
@@ -190,12 +191,14 @@ def joined_pairs(rows: DataFrame, sides: Callable, heavy: int) -> DataFrame:
         for b in batches:
             c = {f.name: np.asarray(b.column(f.name)) for f in b.schema}
             y, z = c["years"].astype(np.uint64), c["years2"].astype(np.uint64)
-            fit = (y & (z | (z << np.uint64(1)) | (z >> np.uint64(1))) != 0) & sides(c["tabs"], c["tabs2"])
+            fit = (y & (z | (z << np.uint64(1)) | (z >> np.uint64(1))) != 0)
+            both = sides(c["tabs"], c["tabs2"]).astype(np.int32)
+            fit &= both != 0
             cut = c["kind"] == CUT
             s, t = c["stem"].astype(np.uint64), c["stem2"].astype(np.uint64)
             fit &= ~cut | begins(s, t) | ((c["kind2"] == CUT) & begins(t, s))
             n = [c["nid"][fit], c["nid2"][fit]]
             late = np.where(n[0] < n[1], (z | (z << np.uint64(1)) | (z >> np.uint64(1)))[fit], (y | (y << np.uint64(1)) | (y >> np.uint64(1)))[fit])
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*n)), pa.array(np.maximum(*n)), pa.array(c["n"][fit].astype(np.int64) * c["n2"][fit] > heavy), pa.array(late.astype(np.int64))], names=["x", "y", "heavy", "y_years"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*n)), pa.array(np.maximum(*n)), pa.array(c["n"][fit].astype(np.int64) * c["n2"][fit] > heavy), pa.array(late.astype(np.int64)), pa.array(both[fit])], names=["x", "y", "heavy", "y_years", "sides"])
 
-    return met.mapInArrow(run, "x bigint, y bigint, heavy boolean, y_years bigint")
+    return met.mapInArrow(run, "x bigint, y bigint, heavy boolean, y_years bigint, sides int")
