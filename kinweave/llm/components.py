@@ -6,8 +6,8 @@ Rounds of joins proportional to a group's diameter are what makes plain label sp
 2. maximal chains of vertices of degree two are removed as a whole: every directed edge (arc) into a chain points to
    the arc that follows it, and pointer doubling (list ranking) finds the end of a chain of length n in log2(n)
    rounds; the chain is replaced by one edge between its two ends,
-3. both are repeated while they still shrink the graph; what is left, the core, is labelled by spreading minima with
-   pointer shortcuts,
+3. both are repeated until neither removes anything (a tree is used up in a number of rounds that grows with the
+   logarithm of its size); what is left, the core, is labelled by spreading minima with pointer shortcuts,
 4. labels are restored to the removed vertices in the opposite order.
 
 Every step is a join or aggregation by vertex, cut with a checkpoint; neither edges nor labels reach the driver, only
@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 
 from kinweave.plans.runtime import cut, discard
 
-#: A strip or chain step that removes less than this share of the edges ends the reduction.
-LEAST_GAIN = 0.5
-
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionAll(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
@@ -125,29 +122,32 @@ def connected_groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
     raw = pairs.select(F.col(left).cast("long").alias("x"), F.col(right).cast("long").alias("y")).filter("x is not null and y is not null")
     edges = cut(raw.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     loops = edges.filter("a = b").select(F.col("a").alias("v"))
-    edges = edges.filter("a <> b")
+    edges = first = edges.filter("a <> b")
     removed: list[DataFrame] = []
-    n = edges.count()
-    while n:
+    n, before = edges.count(), None
+    while n and n != before:
         before = n
-        deg = cut(_degrees(edges))
-        edges, gone = _strip(edges, deg)
-        edges, gone = cut(edges), cut(gone)
-        removed.append(gone)
-        deg = cut(_degrees(edges))
-        edges, gone = _chains(edges, deg)
-        edges, gone = cut(edges), cut(gone)
-        removed.append(gone)
+        for step in (_strip, _chains):
+            deg = cut(_degrees(edges))
+            left, gone = step(edges, deg)
+            left, gone = cut(left), cut(gone)
+            removed.append(gone)
+            if edges is not first:
+                discard(edges)
+            discard(deg)
+            edges = left
         n = edges.count()
-        if n > before * (1 - LEAST_GAIN):
-            break
     labels = _core(edges) if n else edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    edges_left = labels
     for gone in reversed(removed):
         up = labels.select(F.col("v").alias("parent"), "label")
         # a parent without a label is a vertex that nothing is left of: its own group so far
         back = gone.join(up, "parent", "left").select("v", "parent", F.coalesce("label", "parent").alias("label"))
         alone = back.filter("label = parent").select(F.col("parent").alias("v"), "label")
-        labels = cut(labels.unionByName(back.select("v", "label")).unionByName(alone).groupBy("v").agg(F.min("label").alias("label")))
+        old, labels = labels, cut(labels.unionByName(back.select("v", "label")).unionByName(alone).groupBy("v").agg(F.min("label").alias("label")))
+        discard(gone)
+        if old is not edges_left:
+            discard(old)
     # stripped and chain vertices may be smaller than the label their group got
     low = labels.groupBy("label").agg(F.min("v").alias("low"))
     grouped = labels.join(low, "label").select(F.col("v").alias("vertex"), F.col("low").alias("group"))

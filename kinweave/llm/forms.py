@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.text_forms import consistent_forms, maybe_unstable
+from kinweave.llm.text_forms import LOOKALIKES, consistent_forms, maybe_unstable
 from kinweave.plans.runtime import table
 
 
@@ -32,4 +32,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Full-width letters, spaces, invisible characters and look-alikes mapped, then composed."""
+    wide = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if c != 0xFF07} | {"\u3000": " ", "\u00a0": " ", "\u2009": " ", "\u202f": " ", "\u2007": " ", "\u2002": " ", "\u2003": " "} | LOOKALIKES
+    mapped = f"translate(regexp_replace(value,'[\\p{{Cf}}\\x{{34f}}\\x{{fe00}}-\\x{{fe0f}}]','','g'),'{''.join(wide)}','{''.join(wide.values())}')"
+    for k, v in {"ǆ": "dž", "ǉ": "lj", "ǌ": "nj", "ǅ": "Dž", "ǈ": "Lj", "ǋ": "Nj", "Ǆ": "DŽ", "Ǉ": "LJ", "Ǌ": "NJ", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}.items():
+        mapped = f"replace({mapped},'{k}','{v}')"
+    values = "select 'export_xlsx' as source_table, row_id as record_key, name_and_surname as value from export_xlsx union all select 'export_xlsx_partial', try_cast(trim(IDNumber) as bigint), Surname from export_xlsx_partial union all select 'match_entries', row_idx, birth_place from match_entries"
+    cyrillic = "(regexp_matches(value,'\\p{Cyrillic}') and not regexp_matches(regexp_replace(value,'\\p{Cyrillic}','','g'),'\\p{L}'))"
+    found_ = f"with v as (select distinct * from ({values}) where value is not null), f as (select *, nfc_normalize({mapped}) as form from v where not {cyrillic})"
+    return {"p4_found": f"{found_} select distinct source_table, record_key from f where form<>value", "p4_changed_values": f"{found_} select source_table, record_key, value, form from f where form<>value"}

@@ -32,4 +32,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Everything that every record reaches, by recursion; numbers of the two tables are kept apart by their lowest bit."""
+    edges = "select distinct row_idx*2 as a, try_cast(trim(IDNumber) as bigint)*2+1 as b from match_pairs where row_idx is not null and try_cast(trim(IDNumber) as bigint) is not null"
+    groups = f"with recursive e0 as ({edges}), e as (select a, b from e0 union all select b, a from e0), reach(v,u) as (select a, a from e union select r.v, e.b from reach r join e on r.u=e.a), g as (select v//2 as record_key, min(u)//2 as group_key from reach group by v)"
+    return {
+        "p2_found": f"{groups} select record_key, group_key from g",
+        "p2_group_sizes": f"{groups} select n_records, count(*) as n_groups from (select group_key, count(*) as n_records from g group by 1) group by 1",
+    }

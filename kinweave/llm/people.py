@@ -75,7 +75,7 @@ _SKIP = {*NOT_NAMES, *NOT_NAMES_SHORT}
 _DATE = re.compile(r"\s*(?:(\d{4})(?:-(\d\d)-(\d\d))?|(\d\d?)\.\s?(\d\d?)\.\s?(\d{4}))(?:\s*\[(\d{4})\])?")
 _NONE = {*MISSING}
 #: Values of a column that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 40_000
 
 
 def _low(s: str) -> str:

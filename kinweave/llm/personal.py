@@ -96,9 +96,19 @@ def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.when(F.col("xs").isNull(), F.col("text")).otherwise(text).alias("text"), F.coalesce(F.size("xs"), F.lit(0)).alias("n_replaced"))
 
 
+def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of what must hold: every text comes out, occurrences lie inside their texts, and texts without any stay as they are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = occurrences(docs).groupBy("doc_id").agg(F.max("end_char").alias("last"), F.count_if((F.col("start_char") < 0) | (F.col("end_char") <= F.col("start_char"))).alias("bad"))
+    out = redacted(spark, sf_dir).select("doc_id", F.col("text").alias("new"), "n_replaced")
+    both = out.join(docs, "doc_id").join(spans, "doc_id", "left")
+    outside = (F.col("bad") > 0) | (F.col("last") > F.length("text"))
+    return both.agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(outside).alias("n_outside"), F.count_if((F.col("n_replaced") == 0) & ~F.col("new").eqNullSafe(F.col("text"))).alias("n_changed_in_vain"), F.count_if((F.col("n_replaced") > 0) & F.col("new").eqNullSafe(F.col("text"))).alias("n_left"))
+
+
 def queries() -> dict:
-    return {"p9_found": found, "p9_redacted": redacted}
+    return {"p9_found": found, "p9_redacted": redacted, "p9_limits": limits}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p9_limits": "select count(*) as n_texts, 0::bigint as n_outside, 0::bigint as n_changed_in_vain, 0::bigint as n_left from documents"}

@@ -103,7 +103,7 @@ def map_values(values: DataFrame, refs: DataFrame) -> DataFrame:
     short = F.col("right_id").endswith(".")
     # an abbreviation is only read as the exact beginning it is
     close = both.filter(F.when(short, F.col("d") == 0).otherwise((F.col("d") <= F.lit(MAX_EDIT_SHARE) * size) | (F.col("d") <= 1)))
-    best = close.groupBy("c").agg(F.max_by(F.struct("ref_id", "jaccard", "d", "form"), F.struct(-F.col("d"), F.col("jaccard"), -F.col("ref_id"))).alias("b"))
+    best = close.groupBy("c").agg(F.max_by(F.struct("ref_id", "jaccard", "d", "form"), F.struct(F.col("jaccard"), -F.col("d"), -F.col("ref_id"))).alias("b"))
     return vals.join(best, "c", "left").select("value", F.coalesce("b.ref_id", F.lit(0)).cast("long").alias("ref_id"), F.coalesce("b.jaccard", F.lit(0.0)).alias("score"), "c", F.col("b.form").alias("nearest"), F.col("b.d").alias("edits"))
 
 
