@@ -33,8 +33,8 @@ def page_fields(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds ``name`` (text after the second h1) and ``fields`` (title to content; a repeated title keeps its last)."""
     name = F.trim(F.substring_index(F.get(F.split(F.col(html), "<h1[^>]*>"), F.lit(2)), "<", 1))
     pair = r'detail_title[^>]*>([^<]*)<[\s\S]*?detail_content[^>]*>([^<]*)'
-    titles = F.transform(F.regexp_extract_all(html, F.lit(pair), F.lit(1)), F.trim)
-    values = F.transform(F.regexp_extract_all(html, F.lit(pair), F.lit(2)), F.trim)
+    titles = F.transform(F.regexp_extract_all(html, F.lit(pair), F.lit(1)), lambda x: F.trim(x))
+    values = F.transform(F.regexp_extract_all(html, F.lit(pair), F.lit(2)), lambda x: F.trim(x))
     both = F.arrays_zip(titles.alias("t"), values.alias("v"))
     # last of repeated titles: a pair stays if its title does not come again later
     last = F.filter(both, lambda x, i: ~F.exists(F.slice(both, i + 2, F.size(both)), lambda y: y["t"] == x["t"]))

@@ -173,7 +173,7 @@ def read_match_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("ls"))
     # a line and the one behind it, from the same file
     both = lines.select(F.explode(F.arrays_zip(F.col("ls").alias("value"), F.concat(F.slice("ls", F.lit(2), F.size("ls")), F.array(F.lit(""))).alias("next"))).alias("x")).select("x.*").filter(~F.col("value").startswith("\t"))
-    fields = lambda c: F.transform(F.split(c, r"\|"), F.trim)
+    fields = lambda c: F.transform(F.split(c, r"\|"), lambda x: F.trim(x))
     f = fields("value")
     return both.filter(F.size(f) >= 6).select(f.alias("left_fields"), F.when(F.col("next").startswith("\t"), fields(F.ltrim(F.regexp_replace("next", "\t", "")))).alias("right_fields"), F.when(F.size(f) >= 7, F.element_at(f, -1).try_cast("double")).alias("score"))
 

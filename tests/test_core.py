@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import compare, names
-from kinweave.operators import extract, fellegi_sunter as fs
-from kinweave.operators import keychunks, linkage, thresholds
-from kinweave.plans.pipeline import PRESETS, Pipeline, tolerance_settings
+from kinweave.operators import corpora, exports, extract, fellegi_sunter as fs
+from kinweave.operators import keychunks, linkage, reports, thresholds
+from kinweave.plans.pipeline import PRESETS, Pipeline, build_right_registry, method_settings, tolerance_settings
 from kinweave.sources import registries as io
 
 
@@ -71,6 +71,17 @@ def test_linkage(spark):
     assert {(r.a_id, r.b_id) for r in p.run(linkage.Options(normalise=True, check_year=True, max_year_gap=1)).collect()} == {(1, 10), (2, 10)}
     n = {r.setting: r.n for r in p.sweep(tolerance_settings(base, 2)).groupBy("setting").agg(F.count("*").alias("n")).collect()}
     assert n == {"m1": 1, "m2": 1}
+    grid = p.sweep({k: o for k, o in method_settings(base, 1, 1).items()})
+    assert {r.setting for r in grid.select("setting").distinct().collect()} <= {"exact_m0", "exact_m1", "ld1_m0", "ld1_m1"} and grid.filter("setting = 'exact_m0'").count() == 0
+    report = {(r.section, r.item): (r.n, r.pct) for r in reports.full_report(reports.joined(linkage.link(left, right, base), left, right)).collect()}
+    assert report["names", "matches"] == (1, 100.0) and report["death places", "Jasenovac"] == (1, 100.0) and reports.full_report(reports.joined(linkage.link(left.limit(0), right, base), left, right)).count() == 0
+
+
+def test_comparison_form(spark):
+    df = spark.createDataFrame([("  Áłëš* [x]",), ("Đuro",), ("Ťůě ńÿ",)], "t string")
+    assert [r.f for r in df.select(names.comparison_form(F.col("t")).alias("f")).collect()] == ["ałes", "đuro", "tue ny"]
+    with pytest.raises(Exception, match="CAST_INVALID"):
+        df.select(names.strict_int(F.col("t"))).collect()
 
 
 def test_key_chunks(spark):
@@ -91,9 +102,9 @@ def test_extraction(spark):
     html = '<p class="Normal"><span class="Bold">LEVI, Izak (Isak)</span> (Tuzla, 3. V. 1900 – Split, 1. I. 1970) x'
     e = extract.entry_keys(extract.lexicon_entries(spark.createDataFrame([(1, html), (2, "none"), (3, None)], "entry_id int, html string"))).collect()
     assert {r.key_name for r in e} == {"Izak LEVI", "Isak LEVI"} and (e[0].birth_place, e[0].birth_year, e[0].death_place, e[0].death_year) == ("Tuzla", "1900", "Split", "1970")
-    page = '<h1>a</h1><h1>Ana K</h1><i class="detail_title">Sex:</i><i class="detail_content"> F </i><i class="detail_title">Sex:</i><i class="detail_content">M</i>'
+    page = '<h1>a</h1><h1>Ana K</h1><i class="detail_title">Sex:</i><i class="detail_content"> F </i><i class="detail_title">Sex:</i><i class="detail_content"> M0 </i>'
     f = extract.page_fields(spark.createDataFrame([(page,)], "html string")).first()
-    assert f.name == "Ana K" and f.fields == {"Sex:": "M"}
+    assert f.name == "Ana K" and f.fields == {"Sex:": "M0"}
     spans = spark.createDataFrame([("f", 1, 1, "data", 1, "a", 7.0, 10.0), ("f", 1, 2, "data", 1, "b", 7.0, 18.0), ("f", 1, 3, "data", 1, "c", 7.0, 40.0), ("f", 1, 4, "head", 1, "H", 9.0, 44.0)], "file string, page int, ord long, kind string, column int, text string, font_size double, y1 double")
     assert [r.text for r in extract.merged_lines(spans).orderBy("first_ord").collect()] == ["a b", "c", "H"]
     loc = spark.createDataFrame([("f", 1, "p1")], "file string, ord int, page string")
@@ -101,6 +112,44 @@ def test_extraction(spark):
     assert {(r.v, r.page) for r in extract.with_locations(recs, loc).collect()} == {("x", "p1"), ("y", None)}
 
 
+def test_record_lines():
+    good = "Kohn, (Ivan), Ana, rođena 1912. Gorjan, ubijena 1942. u logoru, Sisak (12)"
+    assert extract.record_fields("\t\t" + good) == ["Ana", "Kohn", "Ivan", "1912", "Gorjan", "1942", "Sisak", "ubijena", "u logoru", "12"]
+    # marks that are missing cut at the last letter, as a position of -1 does
+    assert extract.record_fields("\t\tKohn Ana, rođena 1912. Gorjan, ubijena 1942. u logoru, Sisak (12)")[:3] == ["Kohn Ana", "Kohn An", "Kohn An"]
+    bad = extract.record_fields("\t\tKohn (Ivan) Ana, rođena 1912. Gorjan, nestala")
+    assert bad[:5] == ["Ana", "Kohn", "Ivan", "1912", "Gorjan"] and bad[5] == "" and bad[7] == "nestal"
+    assert len(extract.record_fields("")) == 10
+
+
+def test_second_entries(spark):
+    page = lambda sep: f'<div class="tekst"><span class="natuknica">LEVI, Izak</span>, liječnik (Tuzla, 3. V. 1900 {sep} Split, 1970) x</div>'
+    df = spark.createDataFrame([(k, page(s)) for k, s in enumerate(["&mdash;", "&ndash;", "–", "—", "-"])] + [(9, "<p>none</p>"), (10, None)], "entry_id int, html string")
+    got = extract.second_entries(df).collect()
+    assert len(got) == 5 and {(r.name, r.birth_place, r.birth_year, r.death_place, r.death_year) for r in got} == {("Izak LEVI", "Tuzla", "1900", "Split", "1970")}
+
+
+def test_books_to_records(spark):
+    rows = [("k", "f", 1, 1, 50.0, 10.0, 11.0, "Opština Sisak"), ("k", "f", 1, 2, 50.0, 20.0, 9.0, "Petrinja"), ("k", "f", 1, 3, 50.0, 30.0, 7.0, "Kohn (Ivan) Ana, rođena 1912. Gorjan, ubijena 1942. u logoru,"), ("k", "f", 1, 4, 50.0, 38.0, 7.0, "Sisak (12)"), ("k", "f", 1, 5, 320.0, 30.0, 7.0, " "), ("k", "f", 1, 6, 320.0, 30.0, 7.0, "Levi (Mose) Iva, rođen 1900. Gorjan, ubijen 1941. u borbi, Tuzla (13)")]
+    spans = spark.createDataFrame(rows, "component string, file string, page int, ord long, x0 double, y1 double, font_size double, text string")
+    got = sorted((r.component, r.Name, r.Place, r.Municipality, r.DeathPlace, r.IDNumber, r.File, r.Page, r.Column) for r in build_right_registry(spans).collect())
+    assert got == [("k", "Ana", "Petrinja", "Sisak", "Sisak", "12", "f", "1", "left"), ("k", "Iva", "Petrinja", "Sisak", "Tuzla", "13", "f", "1", "right")]
+
+
+def test_entry_rules(spark):
+    left = spark.createDataFrame([(1, "Izak Levi", "Mojsije", "1900", "Tuzla", "1942", ""), (2, "Levi Izak", "", "", "Tuzla", "", ""), (3, "Izak Lewi", "", "1901", "", "", "")], "a_id long, full_name string, father string, byear string, place string, dyear string, source string")
+    page = f'{extract.ENTRY_OPEN}LEVI, Izak</span> (Tuzla, 1900) sin Mojsija. {{}}{extract.FOOTER}'
+    pages = spark.createDataFrame([(1, page.format("")), (2, page.format("Preživio je.")), (3, page.format("Umro 1970."))], "entry_id long, html string")
+    entries = extract.entry_keys(extract.lexicon_entries(pages))
+    # without a death place the text has to show survival or a later year
+    assert {tuple(r) for r in corpora.entry_matches(left, entries, corpora.FIRST_LEXICON).collect()} == {(1, 2), (1, 3)}
+    near = corpora.EntryRules(method="ld", threshold=1, max_year_gap=1, empty_left_year=True)
+    assert {tuple(r) for r in corpora.entry_matches(left, entries, near).collect()} == {(1, 1), (2, 1), (3, 1)}
+    assert corpora.entry_matches(left.limit(0), entries, near).count() == 0
+    listed = corpora.entry_listing(corpora.entry_matches(left, entries, corpora.FIRST_LEXICON), left, pages).collect()
+    assert len(listed) == 2 and all("mojsij" in r.context for r in listed)
+
+
 def test_thresholds(spark):
     s = spark.createDataFrame([(x,) for x in [0.1] * 20 + [0.2] * 20 + [0.9] * 10 + [0.95] * 10 + [None]], "score double")
     assert thresholds.max_gap(s).first().threshold == pytest.approx(0.55)
@@ -108,6 +157,10 @@ def test_thresholds(spark):
     assert 0.2 < thresholds.kde_valley(s).first().threshold < 0.9
     assert thresholds.distribution(s).count() == 4 and thresholds.chosen(s, 0.4).first().threshold == 0.4
     assert thresholds.max_gap(s.limit(0)).first().threshold is None
+    # fewer than three scores: the widest gap, sizes left aside
+    two = spark.createDataFrame([(0.2,)] * 9 + [(0.6,)], "score double")
+    assert thresholds.kde_valley(two).first().threshold == pytest.approx(0.4) and thresholds.kde_valley(two.filter("score < 0.5")).first().threshold == pytest.approx(0.2)
+    assert [(r.bin, r.n) for r in thresholds.histogram(two).orderBy("bin").collect()] == [(1, 9), (50, 1)] and thresholds.applied(two, 0.6).count() == 1
 
 
 def test_sources(spark, tmp_path):
@@ -118,13 +171,37 @@ def test_sources(spark, tmp_path):
     (tmp_path / "bad.tsv").write_text("a\tb\n")
     with pytest.raises(Exception, match="15 fields"):
         io.read_right(spark, str(tmp_path / "bad.tsv")).collect()
-    (tmp_path / "l.json").write_text('[{"name_and_surname": "A B", "Sex:": "F"}, {"Camp:": "c"}]')
-    assert [r["Sex:"] for r in io.read_left(spark, str(tmp_path / "l.json")).collect()] == ["F", ""]
+    (tmp_path / "l.json").write_text('[{"name_and_surname": "A B", "Sex:": "F", "Height:": "9"}, {"Camp:": "c"}]')
+    read = io.read_left(spark, str(tmp_path / "l.json"))
+    assert [(r["Sex:"], r.other) for r in read.collect()] == [("F", {"Height:": "9"}), ("", {})]
+    many = spark.range(10).select(F.col("id").cast("string").alias("name_and_surname"), F.lit("x,\n\"").alias("Notes:")).repartition(3)
+    io.write_left(many, str(tmp_path / "left"))
+    back = io.read_left(spark, str(tmp_path / "left")).collect()
+    assert {r.name_and_surname for r in back} == {str(i) for i in range(10)} and {r["Notes:"] for r in back} == {"x,\n\""}
+    io.write_left(many.limit(0), str(tmp_path / "none"))
+    assert io.read_left(spark, str(tmp_path / "none")).count() == 0
     (tmp_path / "e.txt").write_text("name level 2/3: m=0.9, u=0.1\nother\n")
     assert tuple(io.read_estimates(spark, str(tmp_path / "e.txt")).first()) == ("name", 2, 0.9, 0.1)
     (tmp_path / "m.txt").write_text("a|b|c|d|e|f|1.5\n\tx|y\na|b|c|d|e|f\n")
     assert [(r.score, r.right_fields) for r in io.read_match_lines(spark, str(tmp_path / "m.txt")).collect()] == [(1.5, ["x", "y"]), (None, None)]
     assert io.read_scores(spark, str(tmp_path / "m.txt")).count() == 1
+    # lines of two files are paired within their file, and fields are trimmed
+    (tmp_path / "two").mkdir()
+    for n in "pq":
+        (tmp_path / "two" / f"{n}.txt").write_text("".join(f"{n}{i} |b|c|d|e|f\n\t{n}{i}| y\n" for i in range(2)))
+    got = io.read_match_lines(spark, str(tmp_path / "two")).collect()
+    assert len(got) == 4 and all(r.left_fields[0] == r.right_fields[0] and r.right_fields[1] == "y" for r in got)
+    assert io.match_count(spark, str(tmp_path / "m.txt")) == 1 and io.match_count(spark, str(tmp_path / "nowhere")) is None
+    scored = spark.createDataFrame([(1.5, *"abcdefgh"), (2.25, *"abcdefgh")], "score double, a string, b string, c string, d string, e string, f string, g string, h string")
+    io.write_review(scored, list("abcdefgh"), str(tmp_path / "review"))
+    assert [r.score for r in io.read_review(spark, str(tmp_path / "review")).orderBy("score").collect()] == [1.5, 2.25]
+    assert next((tmp_path / "review").glob("part-*")).read_text().startswith("score\ta")
+    (tmp_path / "t.tsv").write_text("\t".join(f"f{i}" for i in range(9)) + "\nshort\tline\n" + "\t".join(f"g{i}" for i in range(12)) + "\n")
+    assert sorted(r.DeathPlace for r in io.read_death_places(spark, str(tmp_path / "t.tsv")).collect()) == ["f8", "g8"] and io.read_persons(spark, str(tmp_path / "t.tsv"), True).count() == 1
+    exports.write_workbook(str(tmp_path / "w.xlsx"), {"One": scored.select("a", "score"), "Two": scored.limit(0)})
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        assert list(io._sheet_rows((tmp_path / "w.xlsx").read_bytes())) == [["a", "score"], ["a", "1.5"], ["a", "2.25"]] and 'ySplit="1"' in z.read("xl/worksheets/sheet2.xml").decode()
+    assert exports.widths(scored, "a", "score").first().asDict() == {"a": 6, "score": 10}
     with zipfile.ZipFile(tmp_path / "c.xlsx", "w") as z:
         cell = lambda r, c, t: f'<c r="{c}{r}" t="inlineStr"><is><t>{t}</t></is></c>'
         rows = "".join(f'<row r="{r}">{"".join(cell(r, c, f"{c}{r}") for c in "ABCDEFG")}</row>' for r in (1, 2))
