@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.wordlists import LETTER_PAIRS, SPELLING_PAIRS, pairs
+from kinweave.functions.wordlists import LETTER_PAIRS, SPELLING_PAIRS
 
 
 def replace_all(c: Column, *gone: str) -> Column:
@@ -26,7 +26,7 @@ def prepare_name(c: Column) -> Column:
     """Common spelling of a name: ordered replacements (they cascade, so the order is part of the result), then
     letter simplifications, then repeated letters collapsed.  Native nested ``replace`` stays in generated code."""
     out = plain_letters(F.lower(c))
-    for a, b in pairs(SPELLING_PAIRS) + pairs(LETTER_PAIRS):
+    for a, b in SPELLING_PAIRS + LETTER_PAIRS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.regexp_replace(out, r"(?U)(\w)\1+", "$1")
 

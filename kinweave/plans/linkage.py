@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import names as N
-from kinweave.functions.wordlists import LEFT_OUT_PLACES, LETTER_PAIRS, SPELLING_PAIRS, pairs
+from kinweave.functions.wordlists import LEFT_OUT_PLACES, LETTER_PAIRS, SPELLING_PAIRS
 from kinweave.operators import fellegi_sunter as FS
 from kinweave.operators import linkage as L
 from kinweave.plans.runtime import cut
@@ -157,7 +157,7 @@ def _std(e: str) -> str:
     """The common spelling in SQL: nested replaces, then repeated letters collapsed by a list filter."""
     for a, b in [*zip("čćđšžäöü", "ccdszaou", strict=True), ("ß", "ss")]:
         e = f"replace({e},'{a}','{b}')"
-    for a, b in pairs(SPELLING_PAIRS) + pairs(LETTER_PAIRS):
+    for a, b in SPELLING_PAIRS + LETTER_PAIRS:
         e = f"replace({e},'{a}','{b}')"
     return e
 
