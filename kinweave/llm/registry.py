@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 MODULES = ["groups", "forms", "spellings", "places", "linkage", "packing", "leaks", "personal"]
 
 
 def _modules() -> list:
-    return [importlib.import_module(f"kinweave.llm.{m}") for m in MODULES if importlib.util.find_spec(f"kinweave.llm.{m}")]
+    return [importlib.import_module(f"kinweave.llm.{m}") for m in MODULES]
 
 
 def queries() -> dict:

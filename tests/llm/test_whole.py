@@ -66,8 +66,9 @@ def test_certificates_meet_whatever_their_dates_hold(spark):
         (1, name("dremitkak"), 1891, 18910102, "abcdef", None), (2, name("dremitkak"), 1891, 18910304, "bxyzuv", None), (3, name("dremytkak"), 1891, None, None, None),
         (4, name("dremitkak"), 1892, None, None, None), (5, name("dremitkak"), None, None, "abcdef", None), (6, name("dremitkak"), None, None, None, None),
     ]
-    # a year alone links those with a short date, a place those without one; two full dates that differ are no pair
-    assert _met(spark, rows, "match_entries") == {(1, 3), (2, 3), (1, 5)}
+    rows += [(7, name("torovic"), 1880, 18800505, None, None), (8, name("torovitc"), 1880, None, "abcdef", None), (9, ["veronica", "torovitc"], 1880, None, None, None)]
+    # two full dates that differ are no pair; a year or a place alone links if one person can be meant and a word is shared
+    assert _met(spark, rows, "match_entries") == {(1, 5), (7, 8), (8, 9)}
 
 
 def test_order_abbreviations_spaces_and_familiar_forms(spark):
