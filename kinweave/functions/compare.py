@@ -66,6 +66,11 @@ def _pandas(fn: Callable, kind: str) -> Callable[[Column, Column], Column]:
     return udf
 
 
+def within_edits(a: Column, b: Column, most: int) -> Column:
+    """At most so many edits apart; the distance is worked out no further than that."""
+    return F.levenshtein(a, b, most) >= 0
+
+
 def levenshtein_similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)

@@ -23,6 +23,7 @@ def test_comparators(a, b, jaro, winkler, osa):
 def test_comparator_registry(spark):
     df = spark.createDataFrame([("martha", "marhta"), (None, "x")], "a string, b string")
     row = df.select(*[m.score(F.col("a"), F.col("b")).alias(k) for k, m in compare.METHODS.items() if k != "bm"]).collect()
+    assert [r.w for r in df.select(compare.within_edits(F.col("a"), F.col("b"), 1).alias("w")).collect()] == [False, None]
     assert row[0]["dld"] == 1.0 and row[0]["ld"] == 2.0 and row[1]["jwd"] is None
     with pytest.raises(RuntimeError):
         compare.phonetic_similarity(F.col("a"), F.col("b"))
