@@ -190,3 +190,32 @@ def test_registry_records_one_year_apart_meet(spark):
     name = ["varkodos", "franjo"]
     rows = [(1, name, 1877, None, "tutriste", None), (2, name, 1876, None, "tutris.", None), (3, name, 1879, None, "x", None)]
     assert _met(spark, rows, "export_xlsx") == {(1, 2)}
+
+
+def _hard(rng):
+    """Records of two spellings whose undated pairs rest on places and fathers that differ at both ends or in their first letter."""
+    places, fathers = ["abcdef", "xbcdey", "ab.", "t.", "tuzlagrad", "uzlagra", "stulgrad", None], ["ivan", "jvan", "i.", "bepo", "iosip", None]
+    names = lambda: ["marko", rng.choice(["ilkovic", "ilkovac"])]
+    registry = [(k, names(), rng.choice([None, None, 1900, 1901, 1903]), None, rng.choice(places), rng.choice(fathers)) for k in range(60)]
+    dates = [(k, names(), *rng.choice([(1900, 19000101), (1900, 19000202), (1900, None), (None, None), (None, None)]), rng.choice(places), None) for k in range(60)]
+    return registry, dates
+
+
+def test_p1_does_not_depend_on_the_number_of_namesakes(spark, monkeypatch):
+    registry, dates = _hard(random.Random(12))
+    for tab, data in (("export_xlsx", registry), ("match_entries", dates)):
+        got = []
+        for heavy in (10**9, 0):
+            with monkeypatch.context() as m:
+                m.setattr(spellings, "HEAVY", heavy)
+                got.append(_met(spark, data, tab, [("bepo", "iosip", 5)]))
+        assert got[0] == got[1] and len(got[0]) > 20
+
+
+def test_near_places_are_those_near_place_accepts(spark):
+    rng = random.Random(13)
+    values = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 8))) for _ in range(120)} | {"ab.", "t.", ".", "tuzlagrad"})
+    df = spark.createDataFrame([(v,) for v in values], "place string")
+    both = df.crossJoin(df.withColumnRenamed("place", "near"))
+    want = {tuple(r) for r in both.filter(spellings.near_place(both.place, both.near)).collect()}
+    assert {tuple(r) for r in spellings.near_places(df).collect()} == want
