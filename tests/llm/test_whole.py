@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kinweave.llm import align, name_keys, soft_logic, spellings, trie_join
+from kinweave.llm import align, linkage, name_keys, soft_logic, spellings, trie_join
 from kinweave.llm.people import TABLES, _letters
 
 
@@ -219,3 +219,19 @@ def test_near_places_are_those_near_place_accepts(spark):
     both = df.crossJoin(df.withColumnRenamed("place", "near"))
     want = {tuple(r) for r in both.filter(spellings.near_place(both.place, both.near)).collect()}
     assert {tuple(r) for r in spellings.near_places(df).collect()} == want
+
+
+def test_p6_does_not_depend_on_the_number_of_namesakes(spark, monkeypatch):
+    rows, _ = _hard(random.Random(14))
+    bits = lambda v: None if v is None else _letters(v)
+    data = [(k * 4 + k % 2, k, t, 1, y, None, d, p, f, None, None, None, bits(p), bits(f), None) for k, t, y, d, p, f in rows[:40]]
+    records = spark.createDataFrame(data, PERSON).withColumn("nid", F.xxhash64("tokens"))
+    forms = spark.createDataFrame([("bepo", "iosip", 5)], "s string, f string, weight long")
+    got = []
+    for heavy in (10**9, 0):
+        with monkeypatch.context() as m:
+            m.setattr(spellings, "HEAVY", heavy)
+            names = spellings.linked_names(records, forms, linkage.across, F.expr(linkage.BOTH))
+            met = spellings.record_pairs(names, records, forms, lambda ta, ra, tb, rb: ta != tb, linkage.LEAST_POINTS)
+            got.append({frozenset(r) for r in met.select("a.rid", "b.rid").collect()})
+    assert got[0] == got[1] and len(got[0]) > 100
