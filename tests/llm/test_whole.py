@@ -235,3 +235,19 @@ def test_p6_does_not_depend_on_the_number_of_namesakes(spark, monkeypatch):
             met = spellings.record_pairs(names, records, forms, lambda ta, ra, tb, rb: ta != tb, linkage.LEAST_POINTS)
             got.append({frozenset(r) for r in met.select("a.rid", "b.rid").collect()})
     assert got[0] == got[1] and len(got[0]) > 100
+
+
+def test_memory_of_trie_runs_does_not_grow_with_the_vocabulary(spark, monkeypatch):
+    rng = random.Random(15)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(6)) for _ in range(400)})
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    whole = trie_join.neighbours
+
+    def bounded(trie, roots, level, k, run=None):
+        assert run is None or run.stop - run.start <= 10
+        return whole(trie, roots, level, k, run)
+
+    want = {tuple(r) for r in trie_join.trie_join(df, "w").collect()}
+    monkeypatch.setattr(trie_join, "RUN", 10)
+    monkeypatch.setattr(trie_join, "neighbours", bounded)
+    assert {tuple(r) for r in trie_join.trie_join(df, "w").collect()} == want and want
