@@ -178,6 +178,46 @@ def link(left: DataFrame, right: DataFrame, o: Options) -> DataFrame:
     return first.unionByName(pick(_candidates(_join(again, right, loose), loose)))
 
 
+def _again(df: DataFrame, key: str) -> DataFrame:
+    """Adds ``again``: several rows have this key."""
+    many = cut(df.groupBy(F.col(key).alias("many")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
+    return df.join(many, df[key].eqNullSafe(F.col("many")), "left").withColumn("again", F.col("rows").isNotNull()).drop("many", "rows")
+
+
+def pair_counts(left: DataFrame, right: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
+    """(score, n) of all pairs of rows of ``link`` with a year gap, place and ``keep_all``, and (score, exact, n) of their different pairs of keys.
+
+    Rows that are equal in all compared fields are counted, and their numbers multiplied; no pair of rows is formed but of keys that
+    several rows have, whose pairs count once, by their best score.  ``exact``: the names are equal; without a score the pair is
+    in no block.
+    """
+    left, right = (_again(df, key) for df, key in zip(_sides(left, right, o), ("a_id", "b_id"), strict=True))
+    score, best = METHODS[o.method].score, F.max if METHODS[o.method].higher else F.min
+    cols = ["k_name", "name", "year", "spot", "again"]
+    l, r = (cut(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))) for df in (left, right))
+    near = l.withColumn("year", F.explode(F.transform(F.sequence(F.lit(-o.max_year_gap), F.lit(o.max_year_gap)), lambda d: F.col("year") + d)))
+    lt, rt = near.alias("l"), r.alias("r")
+    spot = (F.col("l.year") == F.col("r.year")) & (F.col("l.spot") == F.col("r.spot"))
+    told = [F.col("l.name").alias("ln"), F.col("r.name").alias("rn"), (F.col("l.again") | F.col("r.again")).alias("again")]
+    counted = lambda met: met.groupBy(*told).agg(F.sum(F.col("l.n") * F.col("r.n")).alias("n"))
+    block, same = F.col("l.k_name") == F.col("r.k_name"), F.col("l.name") == F.col("r.name")
+    names = counted(lt.join(rt, block & spot)).withColumn("score", score(F.col("ln"), F.col("rn"))).filter(passes(F.col("score"), o.method, o.threshold))
+    outside = counted(lt.join(rt, same & ~block & spot)).withColumn("score", F.lit(None).cast("double"))
+    met = names.withColumn("blocked", F.lit(True)).unionByName(outside.withColumn("blocked", F.lit(False)))
+    met = cut(met.groupBy("score", (F.col("ln") == F.col("rn")).alias("exact"), "again", "blocked").agg(F.sum("n").alias("n")))
+    keys = met.filter("not again").select("score", "exact", "n")
+    if not met.filter("again").isEmpty():
+        sides = ((left.filter("again"), right), (left.filter("not again"), right.filter("again")))
+        for one, other in sides:
+            ok = (F.abs(F.col("l.year") - F.col("r.year")) <= o.max_year_gap) & (F.col("l.spot") == F.col("r.spot"))
+            rows = lambda x: x.filter(ok).select("a_id", "b_id", "score", (F.col("l.name") == F.col("r.name")).alias("exact"))  # noqa: E731, B023
+            a, b = one.alias("l"), other.alias("r")
+            pairs = rows(_join(one, other, o)).unionAll(rows(a.join(b, same & ~block).withColumn("score", F.lit(None).cast("double"))))
+            keys = keys.unionAll(pairs.groupBy("a_id", "b_id").agg(best("score").alias("score"), F.max("exact").alias("exact")).groupBy("score", "exact").agg(F.count(F.lit(1)).alias("n")))
+        keys = cut(keys)
+    return met.filter("blocked").groupBy("score").agg(F.sum("n").alias("n")), keys
+
+
 def compared(left: DataFrame, right: DataFrame, o: Options, name_levels: list[int] | None = None) -> DataFrame:
     """a_id, b_id, lv_name, lv_father, lv_year, lv_place of all pairs of a block; null where a field is left out.
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _counts(scores: DataFrame) -> tuple[Column, Column]:
+    """How many scores there are and their sum; a column ``n`` tells how often each one counts."""
+    if "n" in scores.columns:
+        return F.sum("n"), F.sum(F.col("n") * F.col("score"))
+    return F.count(F.lit(1)), F.sum("score")
+
+
 def score_counts(scores: DataFrame) -> DataFrame:
     """score2 (two decimals), n, s (sum of the raw scores)."""
-    return scores.filter("score is not null").groupBy(F.round("score", 2).alias("score2")).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"))
+    n, s = _counts(scores)
+    return scores.filter("score is not null").groupBy(F.round("score", 2).alias("score2")).agg(n.alias("n"), s.alias("s"))
 
 
 def distribution(scores: DataFrame) -> DataFrame:
@@ -35,7 +43,8 @@ def max_gap(scores: DataFrame) -> DataFrame:
 def otsu(scores: DataFrame) -> DataFrame:
     """Largest variance between the two classes over the two-decimal grid; raw scores are compared with it."""
     grid = score_counts(scores).select("score2")
-    raw = scores.filter("score is not null").groupBy(F.ceil(F.col("score") * 100 - 1e-9).alias("up")).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"))
+    n, s = _counts(scores)
+    raw = scores.filter("score is not null").groupBy(F.ceil(F.col("score") * 100 - 1e-9).alias("up")).agg(n.alias("n"), s.alias("s"))
     w = Window.orderBy("k").rangeBetween(Window.unboundedPreceding, 0)
     # raw scores and grid points on one axis of hundredths: a score counts at every grid point not below it
     marks = raw.select(F.col("up").alias("k"), "n", "s", F.lit(None).cast("double").alias("score2")).unionAll(grid.select(F.round(F.col("score2") * 100).cast("long"), F.lit(0).cast("long"), F.lit(0.0), F.col("score2")))
@@ -60,7 +69,7 @@ def kde_valley(scores: DataFrame) -> DataFrame:
     Densities are summed over raw scores grouped to six decimals, against the mid-points of the two-decimal grid: a stated
     set of points whose number does not grow with the rows.
     """
-    raw = scores.filter("score is not null").groupBy(F.round("score", 6).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    raw = scores.filter("score is not null").groupBy(F.round("score", 6).alias("score")).agg(_counts(scores)[0].alias("n"))
     stats = raw.agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("mean"))
     spread = raw.join(F.broadcast(stats)).agg(F.first("total").alias("total"), F.sqrt(F.sum(F.col("n") * F.pow(F.col("score") - F.col("mean"), 2)) / F.first("total")).alias("sd"))
     width = spread.select("total", F.when(F.col("sd") > 0, 1.06 * F.col("sd") * F.pow("total", F.lit(-0.2))).otherwise(1.0).alias("h"))
@@ -105,6 +114,15 @@ def by_method(scored: DataFrame, exact: DataFrame, thresholds: DataFrame, keys:
     return c.select("method", "threshold", "n_kept", "n_both", "n_exact", (F.col("n_both") / F.nullif("n_exact", F.lit(0))).alias("recall"), (F.col("n_both") / F.nullif("n_kept", F.lit(0))).alias("precision"))
 
 
+def by_method_counted(counts: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """``by_method`` from how many pairs there are of each score, found by exact matching or not (score, exact, n)."""
+    kept = F.col("score") >= F.col("threshold")
+    total = counts.agg(F.coalesce(F.sum(F.when(F.col("exact"), F.col("n"))), F.lit(0)).alias("n_exact"))
+    c = counts.join(F.broadcast(thresholds)).filter(kept).groupBy("method").agg(F.sum("n").alias("n_kept"), F.sum(F.when(F.col("exact"), F.col("n")).otherwise(0)).alias("n_both"))
+    c = thresholds.join(c, "method", "left").na.fill(0, ["n_kept", "n_both"]).join(F.broadcast(total))
+    return c.select("method", "threshold", "n_kept", "n_both", "n_exact", (F.col("n_both") / F.nullif("n_exact", F.lit(0))).alias("recall"), (F.col("n_both") / F.nullif("n_kept", F.lit(0))).alias("precision"))
+
+
 def top_gaps(scores: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` widest gaps between neighbouring scores; of equal ones the lower first."""
     c = score_counts(scores).select("score2", F.lead("score2").over(Window.orderBy("score2")).alias("hi")).filter("hi is not null")

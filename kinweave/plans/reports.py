@@ -135,14 +135,14 @@ def score_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def threshold_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each way of choosing a threshold: pairs kept, and how they stand to exact matches."""
-    scored = cut(_scored_pairs(spark, sf_dir))
+    o = L.Options(normalise=True, check_year=True, check_place=True, max_year_gap=1, method="nld", threshold=0.0, block_letters=2, keep_all=True)
+    scores, counts = L.pair_counts(left_registry(spark, sf_dir), right_registry(spark, sf_dir), o)
     ways = {"max_gap": T.max_gap, "otsu": T.otsu, "kde": T.kde_valley}
     thresholds = None
     for name, f in ways.items():
-        row = f(scored.select("score")).select(F.lit(name).alias("method"), "threshold")
+        row = f(scores).select(F.lit(name).alias("method"), "threshold")
         thresholds = row if thresholds is None else thresholds.unionAll(row)
-    exact = P._exact(spark, sf_dir, L.Options(normalise=True, check_year=True, check_place=True, max_year_gap=1, keep_all=True))
-    return _rounded(T.by_method(scored, exact, cut(thresholds), ["a_id", "b_id"]))
+    return _rounded(T.by_method_counted(counts, cut(thresholds)))
 
 
 def queries() -> dict:

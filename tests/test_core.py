@@ -215,3 +215,26 @@ def test_entry_without_subpackages():
     import __spark_entry__ as e
 
     assert {"exact_link", "p3_found"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pairs_are_counted_without_forming_them(spark):
+    """Thresholds and counts from classes of equal rows are those of the pairs themselves, keys of several rows included."""
+    o = linkage.Options(normalise=True, check_year=True, check_place=True, max_year_gap=1, method="nld", threshold=0.0, block_letters=2, keep_all=True)
+    names = ["Marko Levi", "Marka Levi", "Mara Levy", "Marko Levin", "Ana Papo"]
+    left = [(k // 2 if k < 8 else k, names[k % 5], "", str(1900 + k % 3), ["Zagreb", "Tuzla"][k % 2], "", "") for k in range(40)] + [(None, names[0], "", "1900", "Zagreb", "", "")] * 2
+    right = [(k % 25, *names[(k * 3) % 5].split(), "", str(1900 + k % 4), ["Zagreb", "Tuzla"][k % 2], "", "", "") for k in range(30)]
+    a = spark.createDataFrame(left, "a_id long, full_name string, father string, byear string, place string, dyear string, source string")
+    b = spark.createDataFrame(right, "b_id long, given string, surname string, father string, byear string, place string, dyear string, dplace string, circumstances string")
+    pairs = linkage.link(a, b, o).select("a_id", "b_id", "score")
+    exact = linkage.link(a, b, linkage.Options(normalise=True, check_year=True, check_place=True, max_year_gap=1, keep_all=True))
+    scores, counts = linkage.pair_counts(a, b, o)
+    rounded = lambda df: sorted((round(r.score, 9), r.n) for r in df.collect())
+    assert rounded(scores) == rounded(pairs.groupBy("score").count().withColumnRenamed("count", "n"))
+    # the joins of by_method do not meet null keys, so it is compared without them
+    known = pairs.filter("a_id is not null"), exact.filter("a_id is not null")
+    at = spark.createDataFrame([("a", 0.95), ("b", 0.7), ("c", 2.0), ("d", None)], "method string, threshold double")
+    want = {r.method: tuple(r) for r in thresholds.by_method(*known, at, ["a_id", "b_id"]).collect()}
+    scores, counts = linkage.pair_counts(a.filter("a_id is not null"), b, o)
+    assert {r.method: tuple(r) for r in thresholds.by_method_counted(counts, at).collect()} == want and want["a"][2] > 20
+    for f in (thresholds.max_gap, thresholds.otsu, thresholds.kde_valley):
+        assert f(scores).first().threshold == pytest.approx(f(known[0].select("score")).first().threshold)
