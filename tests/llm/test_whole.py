@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kinweave.llm import align, linkage, name_keys, soft_logic, spellings, trie_join
+from kinweave.llm import align, linkage, name_keys, people, soft_logic, spellings, trie_join
 from kinweave.llm.people import TABLES, _letters
 
 
@@ -251,3 +251,40 @@ def test_memory_of_trie_runs_does_not_grow_with_the_vocabulary(spark, monkeypatc
     monkeypatch.setattr(trie_join, "RUN", 10)
     monkeypatch.setattr(trie_join, "neighbours", bounded)
     assert {tuple(r) for r in trie_join.trie_join(df, "w").collect()} == want and want
+
+
+def test_soft_logic_in_one_task_goes_the_rounds_of_joined_tables(spark):
+    rng = random.Random(16)
+    rules = {p: [(False, 0.0, 2.4)] + [(True, 1.0, rng.choice([1.5, 2.0, 3.0])) for _ in range(3)] + [(False, 0.0, rng.choice([1.0, 4.0]))] for p in range(-20, 40)}
+    couples = [(p, (p + 20) // 4 * 4 - 20, sign, float(sign > 0), 2.0) for p in rules for sign in [rng.choice([1.0, -1.0])] if p % 4]
+    pairs, ties = spark.createDataFrame(list(rules.items()), RULES), spark.createDataFrame(couples, COUPLES)
+    one, many, bare = ({r.p: r.y for r in soft_logic.solve(pairs, t, one_task=n).collect()} for t, n in ((ties, 10**6), (ties, 0), (ties.limit(0), 10**6)))
+    assert set(one) == set(many) == set(bare) == set(rules)
+    assert max(abs(one[p] - many[p]) for p in rules) < 1e-9
+    assert max(abs(one[p] - bare[p]) for p in rules) > 0.01
+    # no round is a job of its own
+    run = spark.sparkContext.statusTracker().getJobIdsForGroup
+    spark.sparkContext.setJobGroup("one task", "")
+    soft_logic.solve(pairs, ties).collect()
+    jobs = len(run("one task"))
+    spark.sparkContext.setJobGroup("", "")
+    assert 0 < jobs < 25
+
+
+def test_words_are_folded_as_whole_names_are():
+    rng = random.Random(17)
+    letters = "".join(chr(c) for c in range(32, 0x250)) + "  '.()-ČćĐšž" * 12 + "Марко́​"
+    for _ in range(20_000):
+        s = "".join(rng.choice(letters) for _ in range(rng.randint(1, 24)))
+        assert people._tokens(s) == people._any_tokens(s)
+
+
+def test_only_words_that_weigh_more_stand_for_others(spark):
+    rng = random.Random(18)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randint(4, 9))): rng.randint(1, 4) for _ in range(200)}
+    df = spark.createDataFrame(list(words.items()), "w string, n long")
+    want = {(r.a, r.b) for r in spellings.near_words(df).collect() if (-words[r.b], r.b) < (-words[r.a], r.a)}
+    assert {(r.a, r.b) for r in spellings._met_words(df, "n").collect()} == want and want
+    for whole in (0, 10**6):
+        got = {(r.a, r.b) for r in trie_join.trie_join(df, "w", whole=whole, weight="n").collect()}
+        assert got == {(r.a, r.b) for r in trie_join.trie_join(df, "w").collect() if (-words[r.b], r.b) < (-words[r.a], r.a)}
