@@ -288,3 +288,22 @@ def test_only_words_that_weigh_more_stand_for_others(spark):
     for whole in (0, 10**6):
         got = {(r.a, r.b) for r in trie_join.trie_join(df, "w", whole=whole, weight="n").collect()}
         assert got == {(r.a, r.b) for r in trie_join.trie_join(df, "w").collect() if (-words[r.b], r.b) < (-words[r.a], r.a)}
+
+
+def test_the_bound_from_numbers_keeps_what_the_evidence_accepts_and_is_short(spark):
+    rng = random.Random(19)
+    text = lambda: rng.choice([None, "ab.", "tuzla", "tuzlagrad", "uzlagra", "stul"])
+    some = [(4 * k + rng.choice([0, 2]), k, rng.choice([None, 1900, 1901, 1903]), rng.choice([None, None, 1902]), rng.choice([None, 19000101, 19000202]), text(), text(), rng.choice([None, 1942]), text(), rng.choice([None, "M", "F"])) for k in range(90)]
+    bits = lambda v: None if v is None else _letters(v)
+    rows = [(*r, bits(r[5]), bits(r[6]), bits(r[8]), ["x"]) for r in some]
+    df = spark.createDataFrame(rows, "rid long, r int, byear int, byear2 int, bdate int, place string, father string, dyear int, dplace string, sex string, pletters int, fletters int, dletters int, tokens array<string>")
+    told, numbers = F.struct(*df.columns), F.struct("rid", *spellings._numbers())
+    both = df.select(told.alias("a")).crossJoin(df.select(told.alias("b"))).filter("a.rid < b.rid and a.rid % 4 = b.rid % 4")
+    points = F.when(F.col("a.rid") % 4 == 2, F.when(spellings.dates_agree(), 9.0).otherwise(-9.0)).otherwise(spellings.evidence())
+    want = {tuple(r) for r in both.filter(points >= 2.5).select("a.rid", "b.rid").collect()}
+    small = df.select(numbers.alias("a")).crossJoin(df.select(numbers.alias("b"))).filter("a.rid < b.rid and a.rid % 4 = b.rid % 4")
+    met = small.filter(spellings.may_agree(2.5))
+    got = {tuple(r) for r in met.select("a.rid", "b.rid").collect()}
+    assert want <= got and len(want) > 50 and len(got) < small.count() * 2 / 3
+    # without tests for null the JVM can compile it
+    assert all(not f.nullable for f in df.select(numbers.alias("a")).schema["a"].dataType if f.name != "rid")
