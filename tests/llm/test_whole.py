@@ -1,6 +1,7 @@
 """The whole job: every pair that later rules accept is met, compared with brute force."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -307,3 +308,39 @@ def test_the_bound_from_numbers_keeps_what_the_evidence_accepts_and_is_short(spa
     assert want <= got and len(want) > 50 and len(got) < small.count() * 2 / 3
     # without tests for null the JVM can compile it
     assert all(not f.nullable for f in df.select(numbers.alias("a")).schema["a"].dataType if f.name != "rid")
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from kinweave.plans.runtime import CLEANUP, cut
+
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(i).getName() for i in range(held.size()) if held.apply(i).getName().startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(CLEANUP, "false")
+    assert cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    left = files() - before
+    for _ in range(50):
+        if len(left) <= 4:  # those of the count
+            break
+        time.sleep(0.1)
+        left = files() - before
+    assert not any(f.endswith(".data") for f in left if f in files()) or len(left) <= 4
+    assert spark.conf.get(CLEANUP, "false") == setting
+
+
+def test_words_sent_to_all_tasks_and_joined_words_give_the_same(spark, monkeypatch):
+    rows = [(1, ["ivan", "horvat"], 1900, 19000101, "zagreb", None), (2, ["i.", "horvat"], 1900, 19000101, "zagreb", None), (3, ["horvat", "ivam"], 1900, None, "zagreb", None), (4, ["hor.", "i."], 1900, 19000101, None, None)]
+    rows += [(5, ["jo", "kolar"], 1910, 19100101, "split", None), (6, ["josip", "kolar"], 1910, 19100101, "split", None), (7, ["josip", "ko", "lar"], 1910, None, "split", None), (8, ["kol."], 1910, 19100101, None, None), (9, ["kolar"], 1910, 19100101, None, None)]
+    rows += [(10 + i, ["ana", "babic"], 1900 + i % 9, 19000101 + 10000 * (i % 9), "sisak", None) for i in range(80)] + [(90, ["ana", "babik"], 1903, None, "sisak", None), (91, ["ana", "babiic"], None, None, "sisak", None)]
+    sent = _met(spark, rows, "match_entries")
+    monkeypatch.setattr(spellings, "VOCABULARY", 0)
+    assert _met(spark, rows, "match_entries") == sent and {(1, 2), (1, 4), (5, 6), (6, 7), (8, 9)} <= sent
+
+
+def test_records_of_the_smaller_name_go_to_the_larger(spark):
+    keys = spark.createDataFrame([(1, 0, 0, 7, 9, 1, 1), (1, 0, 0, 8, 2, 1, 2), (1, 0, 0, 9, 2, 1, 1)], name_keys.KEYS)
+    got = {(r.x, r.y, r.y_years) for r in name_keys.pairs_of(keys, lambda t, u: t & u, 100).collect()}
+    rows = name_keys.pairs_of(keys, lambda t, u: t & u, 100, 0).select(*name_keys.KEYS.replace(",", "").split()[::2]).filter("key is not null")
+    assert got == {(8, 7, 1), (9, 7, 1), (8, 9, 1)}
+    assert rows.count() in (0, 3) and {(r.x, r.y) for r in name_keys.joined_pairs(keys, lambda t, u: t & u, 100).collect()} == {(8, 7), (9, 7), (8, 9)}
