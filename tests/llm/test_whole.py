@@ -344,3 +344,56 @@ def test_records_of_the_smaller_name_go_to_the_larger(spark):
     rows = name_keys.pairs_of(keys, lambda t, u: t & u, 100, 0).select(*name_keys.KEYS.replace(",", "").split()[::2]).filter("key is not null")
     assert got == {(8, 7, 1), (9, 7, 1), (8, 9, 1)}
     assert rows.count() in (0, 3) and {(r.x, r.y) for r in name_keys.joined_pairs(keys, lambda t, u: t & u, 100).collect()} == {(8, 7), (9, 7), (8, 9)}
+
+
+def test_keys_are_exchanged_in_packs_of_few_bytes_a_row(spark):
+    rng = random.Random(20)
+    key = lambda: rng.randrange(-(2**63), 2**63)
+    names = [(key(), rng.choice([1, 1, 1, 7]), rng.choice([1, 2, 3]), 1 << rng.randrange(60)) for _ in range(8000)]
+    shared = [key() for _ in range(3000)]
+    rows = [(rng.choice(shared) if k == 0 else key(), kind := rng.choice([0, 0, 0, 0, 1, 2]), 7 * kind, *name) for name in names for k in range(10)]
+    keys = spark.createDataFrame(rows, name_keys.KEYS).coalesce(2)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = written()
+    got = {tuple(r) for r in name_keys.pairs_of(keys, lambda t, u: t & u, 100).select("x", "y", "heavy", "y_years", "sides").collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert 0 < (written() - before) / len(rows) < 20
+    assert got == {tuple(r) for r in name_keys.joined_pairs(keys, lambda t, u: t & u, 100).collect()} and len(got) > 100
+
+
+def test_keys_of_many_names_are_handed_on_from_several_packs(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(rng.choice([5, 6, 6, 6, 7]), 0, 0, k, 1, 1, 1 << (k % 8)) for k in range(60)]
+    keys = spark.createDataFrame(rows, name_keys.KEYS).repartition(6)
+    every = lambda met: {(r.x, r.y, r.y_years) for r in met.collect()}
+    want = every(name_keys.pairs_of(keys, lambda t, u: t & u, 100))
+    monkeypatch.setattr(name_keys, "PACK", 1)
+    out = name_keys.pairs_of(keys, lambda t, u: t & u, 100, 20).cache()
+    handed = out.filter("x is null").select("key", "kind", "stem", "nid", "n", "tabs", "years")
+    assert {r.key for r in handed.collect()} == {6}
+    assert every(out.filter("x is not null")) | every(name_keys.joined_pairs(handed, lambda t, u: t & u, 100)) == want and want
+    out.unpersist()
+
+
+def test_names_of_certificates_meet_where_their_dates_may_agree(spark):
+    rng = random.Random(22)
+    dates = [(None, None)] * 4 + [(y, None) for y in range(1900, 1906)] + [(y, y * 10000 + m) for y in range(1900, 1906) for m in rng.sample(range(101, 1231), 8)]
+    one = lambda i: spark.createDataFrame([(k, y, d, "tuzla") for k, (y, d) in enumerate(dates)], "k int, byear int, bdate int, place string").select(F.struct("*").alias(i))
+    both = one("a").crossJoin(one("b")).withColumn("fit", spellings.dates_agree())
+    bits = lambda i: spellings.date_bits(f"{i}.byear", f"{i}.bdate")
+    met = both.withColumn("met", bits("a").bitwiseAND(bits("b")) != 0).groupBy("fit", "met").count().collect()
+    count = {(r.fit, r.met): r["count"] for r in met}
+    assert (True, False) not in count and count[False, False] > 3 * count[False, True]
+    # names whose certificates have other dates are not written as pairs
+    rows = [(k * 4 + 2, k, ["ivan", w], 1, 1900, None, 19000100 + d, "tuzla", None, None, None, None, None, None, None) for k, (w, d) in enumerate([("horvat", 1), ("horvatt", 1), ("horvaat", 2), ("hoorvat", 3), ("horrvat", 4)])]
+    records = spark.createDataFrame(rows, PERSON).withColumn("nid", F.xxhash64("tokens"))
+    pairs = spellings.linked_names(records, spark.createDataFrame([], "s string, f string, weight long"), lambda t, u: t & u, F.col("mixed"))
+    own = {r.rid: r.nid for r in records.collect()}
+    found = {frozenset(r) for r in pairs.select("x", "y").collect()}
+    assert frozenset((own[2], own[6])) in found and len(found) < 6
+
+
+def test_years_on_both_sides_of_the_last_step_meet(spark):
+    rows = [(1, ["ivan", "horvat"], 1965, None, "zagreb", "petar"), (2, ["ivan", "horvatt"], 1966, None, "zagreb", "petar")]
+    assert _met(spark, rows, "export_xlsx") == {(1, 2)}
